@@ -86,10 +86,10 @@ def date_like(c: Column) -> Column:
 
 def date_format_of(c: Column) -> Column:
     """Datetime pattern that reads this text, null when none fits."""
-    out = F.lit(None).cast("string")
-    for look, fmt in reversed(w.DATE_FORMATS):
-        out = F.when(c.rlike(look), fmt).otherwise(out)
-    return out
+    formats = F.array(*[
+        F.struct(F.lit(look).alias("look"), F.lit(fmt).alias("fmt")) for look, fmt in w.DATE_FORMATS
+    ])
+    return F.try_element_at(F.filter(formats, lambda f: F.rlike(c, f["look"])), F.lit(1))["fmt"]
 
 
 def as_timestamp(df: DataFrame, name: str, fmt: str | None = None) -> Column:

@@ -421,23 +421,28 @@ def date_share(first: DataFrame) -> DataFrame:
     all values read; another one only those that look like a date, and at least
     55 % (and five) of them must.
     """
-    looks = name_has("name", w.DATE_WORDS) | date_like(F.col("value"))
-    shown = F.array_sort(F.collect_list(
-        F.when(F.col("rn") <= SHOWN_VALUES, F.struct("rn", "value"))))
-    heads = first.groupBy("name").agg(
-        F.count("*").alias("_n"), F.count_if(looks).alias("_like"),
-        date_format_of(F.min_by("value", F.when(looks, F.col("rn")))).alias("ts_format"),
-        F.transform(shown, lambda s: s["value"]).alias("shown"))
-    enough = (F.col("_like") >= F.greatest(F.lit(5.0), F.col("_n") * 0.55)) | name_has(
-        "name", w.DATE_WORDS)
-    good = first.where(looks).join(F.broadcast(heads.select("name", "ts_format")), "name").groupBy(
-        "name").agg(F.avg(
-            F.try_to_timestamp(F.col("value"), F.col("ts_format")).isNotNull().cast("double")
-        ).alias("_good"))
-    share = F.when(enough & F.col("ts_format").isNotNull(), F.coalesce("_good", F.lit(0.0)))
-    return heads.join(F.broadcast(good), "name", "left").select(
-        "name", F.col("_n").alias("seen"), "ts_format",
-        F.coalesce(share, F.lit(0.0)).alias("date_share"), "shown")
+    dated_name = name_has("name", w.DATE_WORDS)
+    looks = F.col("_dated") | date_like(F.col("value"))
+    per_name = Window.partitionBy("name")
+    read = (
+        first.withColumn("_dated", dated_name).withColumn("_looks", looks)
+        .withColumn("_head", F.min_by("value", F.when(F.col("_looks"), F.col("rn"))).over(per_name))
+        .withColumn("ts_format", date_format_of(F.col("_head")))
+        .withColumn("_good", F.when(F.col("_looks"), F.try_to_timestamp(
+            F.col("value"), F.col("ts_format")).isNotNull().cast("double")))
+    )
+    found = read.groupBy("name").agg(
+        F.count("*").alias("seen"), F.first("ts_format").alias("ts_format"),
+        F.max("_dated").alias("_dated"), F.count_if("_looks").alias("_like"),
+        F.avg("_good").alias("_good"),
+        F.array_sort(F.collect_list(
+            F.when(F.col("rn") <= SHOWN_VALUES, F.struct("rn", "value")))).alias("_shown"))
+    enough = F.col("_dated") | (
+        F.col("_like") >= F.greatest(F.lit(5.0), F.col("seen") * 0.55))
+    share = F.when(enough & F.col("ts_format").isNotNull(), F.col("_good"))
+    return found.select(
+        "name", "seen", "ts_format", F.coalesce(share, F.lit(0.0)).alias("date_share"),
+        F.transform("_shown", lambda s: s["value"]).alias("shown"))
 
 
 # --- roles -------------------------------------------------------------------

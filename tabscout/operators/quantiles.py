@@ -14,7 +14,7 @@ from tabscout.operators.common import IN_MEMORY_ROWS, cut_lineage
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               rows: int | None = None, exact: bool = True,
               in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
-    """Per key: `n` (non-null values) and `q`, the quantiles at `probs`.
+    """Per key: `n` (non-null values), `distinct` and `q`, the quantiles at `probs`.
 
     `rows` is the known number of rows of `df` (counted here when not given).
     Values are counted first and then ranked. Up to `in_memory_rows` a window
@@ -27,7 +27,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     data = df.where(F.col(value).isNotNull())
     if not exact:
         q = F.percentile_approx(value, list(probs), 10_000)
-        return data.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"))
+        return data.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.approx_count_distinct(value).alias("distinct"), q.alias("q"))
     if rows is None:
         rows = data.count()
     if not keys:
@@ -35,7 +36,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     grouping = keys or ["_all"]
     counted = data.groupBy(*grouping, value).agg(F.count("*").alias("n"))
     return quantiles_of_counts(
-        counted, grouping, value, probs, rows, in_memory_rows).select(*keys, "n", "q")
+        counted, grouping, value, probs, rows, in_memory_rows).select(*keys, "n", "distinct", "q")
 
 
 def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
@@ -86,7 +87,7 @@ def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]
         return F.expr(f"max(CASE WHEN {here} THEN `{value}` END)")
 
     found = ranked.groupBy(*keys).agg(
-        F.max("total").alias("_total"),
+        F.max("total").alias("_total"), F.count("*").alias("distinct"),
         *[at(f"floor({s})").alias(f"_lo{i}") for i, s in enumerate(spots)],
         *[at(f"ceil({s})").alias(f"_hi{i}") for i, s in enumerate(spots)],
     )
@@ -97,7 +98,7 @@ def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]
         return lo + (hi - lo) * (spot - F.floor(spot))
 
     return found.select(
-        *keys, F.col("_total").alias("n"),
+        *keys, F.col("_total").alias("n"), "distinct",
         F.array(*[mixed(i, p) for i, p in enumerate(probs)]).alias("q"))
 
 
