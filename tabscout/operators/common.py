@@ -39,13 +39,16 @@ def long_form(df: DataFrame, name: str, value: str, columns: dict[str, Column],
 
     All columns must have one type. Null values stay in.
     """
+    kept = df.select(*keep).columns if keep else []
+    held = [f"_k{i}" for i in range(len(kept))]
     parts = []
     for chunk in chunks(list(columns)):
-        wide = df.select(*keep, *[columns[c].alias(c) for c in chunk])
-        kept = ["`" + c + "`" for c in wide.columns[:len(wide.columns) - len(chunk)]]
+        wide = df.select(*[k.alias(h) for k, h in zip(keep, held)],
+                         *[columns[c].alias(c) for c in chunk])
         cells = ["`" + c.replace("`", "``") + "`" for c in chunk]
-        parts.append(wide.unpivot(kept, cells, name, value))
-    return union_all(parts)
+        parts.append(wide.unpivot(held, cells, name, value))
+    return union_all(parts).select(
+        *[F.col(h).alias(k) for h, k in zip(held, kept)], name, value)
 
 
 def stack_row(structs: Sequence[Column], df: DataFrame, size: int = STRUCT_CHUNK) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscout.functions.exprs import as_number, group_text, is_positive, min_group, present, quoted
+from tabscout.functions.exprs import as_number, group_text, is_positive, min_group, present
 from tabscout.functions.names import default_agg
 from tabscout.operators.common import long_form, union_all
 from tabscout.operators.quantiles import group_medians
@@ -116,9 +116,10 @@ def measure_aggs(df: DataFrame, measures: Sequence[str]) -> dict[str, str]:
 def _group_medians(df: DataFrame, segments: Sequence[str], measures: Sequence[str],
                    rows: int) -> DataFrame:
     texts = {s: F.coalesce(group_text(df, s), F.lit("nan")) for s in segments}
-    wide = long_form(df, "segment", "value", texts, [as_number(df, m).alias(m) for m in measures])
+    keep = [as_number(df, m).alias(f"_m{j}") for j, m in enumerate(measures)]
+    wide = long_form(df, "segment", "value", texts, keep)
     cells = long_form(
-        wide, "measure", "_x", {m: quoted(m) for m in measures},
+        wide, "measure", "_x", {m: F.col(f"_m{j}") for j, m in enumerate(measures)},
         [F.col("segment"), F.col("value")]).where(F.col("_x").isNotNull())
     return group_medians(
         cells, ["measure", "segment", "value"], "_x", rows * len(segments) * len(measures)
