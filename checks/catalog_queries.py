@@ -138,8 +138,8 @@ def select_by_ids(spark, sf_dir):
 
 SPARE_TAKEAWAY = _takeaway(
     " stands out with status of ",
-    "'Status ranges from ' || format('{:,}', round(o_totalprice)::BIGINT) || ' to ' || "
-    "format('{:,}', round(o_totalprice)::BIGINT) || ' across the period shown.'",
+    "'Status ranges from ' || format('{:,}', round_even(o_totalprice, 0)::BIGINT) || ' to ' || "
+    "format('{:,}', round_even(o_totalprice, 0)::BIGINT) || ' across the period shown.'",
     "The tallest bars show where most records are concentrated.",
     "The densest areas show where records are most concentrated.",
     "Focus first on the highest and lowest values in this view.",

@@ -241,12 +241,12 @@ def near_same_turns(spark, sf_dir):
 
 
 @query("near_same_edits", _near_same_sql(
-    "SELECT doc_id, text AS a, CASE doc_id % 3 WHEN 0 THEN upper(text) || ' !' "
+    "SELECT doc_id, text AS a, CASE doc_id % 3 WHEN 0 THEN replace(text, ' ', ' - ') || ' !' "
     "WHEN 1 THEN text || ' one more line of words' ELSE text[1:length(text) // 2] END AS b "
     "FROM documents", "doc_id"))
 def near_same_edits(spark, sf_dir):
     k = F.pmod("doc_id", F.lit(3))
-    other = F.when(k == 0, F.concat(F.upper("text"), F.lit(" !"))).when(
+    other = F.when(k == 0, F.concat(F.replace("text", F.lit(" "), F.lit(" - ")), F.lit(" !"))).when(
         k == 1, F.concat("text", F.lit(" one more line of words"))).otherwise(
         F.expr("substring(text, 1, length(text) div 2)"))
     pairs = table(spark, sf_dir, "documents").select(
