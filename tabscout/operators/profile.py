@@ -41,7 +41,7 @@ SAMPLE_ROWS = 4_000
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
-PROFILE_SCHEMA = T.StructType.fromDDL(
+PROFILE_SCHEMA = (
     "dataset string, pos int, name string, label string, role string, dtype string, "
     "rows bigint, non_null bigint, missing_rate double, unique bigint, unique_rate double, "
     "sample_values array<string>, positive_value string, numeric_codes boolean, "
@@ -510,7 +510,7 @@ def assign_roles(stats: DataFrame) -> DataFrame:
     )
 
 
-_STATS_SCHEMA = T.StructType.fromDDL(
+_STATS_SCHEMA = (
     "pos int, name string, dtype string, complex boolean, rows bigint, non_null bigint, "
     "unique bigint, missing_rate_raw double, unique_rate_raw double, numeric_share double, "
     "date_share double, ts_format string, min_text string, max_text string, "
@@ -589,13 +589,16 @@ def profile_columns(df: DataFrame, dataset: str = "table", order: Sequence[str]
             (s["ts_min"], s["ts_max"]) if s["ts_min"] else None,
         )
 
-    # A sequence needs nearly as many values as rows, and a narrow range; the
-    # numbers at hand rule out all other columns (2 % is the sketch's error).
+    # A sequence needs nearly as many values as rows and a mean gap below 2.5;
+    # a median gap of 1 needs half of the gaps to be at least 1, so a mean of
+    # 0.5. The numbers at hand rule out the other columns (the margins are for
+    # sketched counts).
     def maybe(c: str) -> bool:
         s = stats[c]
         return bool(
             s["n_num"] and rows > 80 and unique[c] > 8 and unique[c] >= 0.75 * rows
-            and s["n_num"] >= 0.82 * rows and s["max"] - s["min"] < 3 * unique[c])
+            and s["n_num"] >= 0.82 * rows
+            and 0.4 * (s["n_num"] * 0.82) <= s["max"] - s["min"] < 3 * unique[c])
 
     wanted = [c for c in scalars if maybe(c)]
     sequences = {}

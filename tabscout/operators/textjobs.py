@@ -13,26 +13,38 @@ def plain_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """Shared part of the two word sets; null where one has no words."""
-    def words(c: Column) -> Column:
-        return F.array_distinct(F.array_remove(F.split(plain_words(c), " "), ""))
-    shared, either = F.array_intersect(words(a), words(b)), F.array_union(words(a), words(b))
-    both = (F.size(words(a)) > 0) & (F.size(words(b)) > 0)
-    return F.when(both, F.size(shared) / F.size(either))
+def word_set(plain: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
+
+
+def overlap_of(a: Column, b: Column) -> Column:
+    """Shared part of two sets of distinct words; null where one is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - shared
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / either)
+
+
+def _given(a: Column, b: Column) -> Column:
+    return F.coalesce((F.length(a) > 0) & (F.length(b) > 0), F.lit(False))
 
 
 def near_same(a: Column, b: Column) -> Column:
     """Equal once cleaned, or nearly the same words; false where one is missing."""
-    given = F.coalesce((F.length(a) > 0) & (F.length(b) > 0), F.lit(False))
-    same = (plain_words(a) == plain_words(b)) | F.coalesce(
-        word_overlap(a, b) > NEAR_SAME, F.lit(False))
-    return F.when(given, same).otherwise(False)
+    pa, pb = plain_words(a), plain_words(b)
+    close = F.coalesce(overlap_of(word_set(pa), word_set(pb)) > NEAR_SAME, F.lit(False))
+    return F.when(_given(a, b), (pa == pb) | close).otherwise(False)
 
 
 def near_same_text(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.withColumn("overlap", word_overlap(F.col(a), F.col(b))).withColumn(
-        "near_same", near_same(F.col(a), F.col(b)))
+    """Add `overlap` and `near_same`; every text is cleaned and split once."""
+    plain = df.withColumns({"_pa": plain_words(F.col(a)), "_pb": plain_words(F.col(b))})
+    sets = plain.withColumns({"_wa": word_set(F.col("_pa")), "_wb": word_set(F.col("_pb"))})
+    found = sets.withColumn("overlap", overlap_of(F.col("_wa"), F.col("_wb")))
+    same = (F.col("_pa") == F.col("_pb")) | F.coalesce(
+        F.col("overlap") > NEAR_SAME, F.lit(False))
+    return found.withColumn(
+        "near_same", F.when(_given(F.col(a), F.col(b)), same).otherwise(False)
+    ).drop("_pa", "_pb", "_wa", "_wb")
 
 
 def json_value(c: Column) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabscout.functions import words as w
@@ -21,16 +20,15 @@ from tabscout.functions.phrases import (
 from tabscout.operators.common import union_all
 from tabscout.operators.textjobs import near_same
 
-ROW_TYPE = "struct<label: string, n: bigint, value: double, x: double, text: string>"
+# `rows` of a view: array<struct<label string, n bigint, value double, x double,
+# text string>>, where x is a position on a number axis and text the shown value.
 VIEW_COLUMNS = (
     "dataset", "ord", "id", "kind", "family", "score", "question", "title", "why", "x_label",
     "y_label", "columns", "rows", "evidence", "passes",
 )
-CATALOG_SCHEMA = T.StructType.fromDDL(
-    "dataset string, seq int, id string, kind string, family string, score double, "
-    "question string, title string, why string, takeaway string, x_label string, "
-    f"y_label string, columns array<string>, rows array<{ROW_TYPE}>, "
-    "evidence map<string, string>, passes boolean"
+CATALOG_COLUMNS = (
+    "dataset", "seq", "id", "kind", "family", "score", "question", "title", "why", "takeaway",
+    "x_label", "y_label", "columns", "rows", "evidence", "passes",
 )
 
 
@@ -85,7 +83,7 @@ def build_catalog(views: Sequence[DataFrame]) -> DataFrame:
     build_order = Window.partitionBy("dataset").orderBy("ord", "id")
     ready = one.withColumn("seq", F.row_number().over(build_order)).withColumn(
         "score", F.round("score", 3)).withColumn("takeaway", takeaway_text())
-    return ready.select(*CATALOG_SCHEMA.fieldNames())
+    return ready.select(*CATALOG_COLUMNS)
 
 
 def _by_score(*keys: str):
