@@ -167,7 +167,8 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
             return F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), q.alias("q"))
         return stack_row([one(c) for c in columns], df)
     counted = counts_by_value(df, {c: as_number(df, c) for c in columns})
-    return quantiles_of_counts(counted, ["name"], "value", probs, rows * len(columns))
+    return quantiles_of_counts(counted, ["name"], "value", probs, rows * len(columns),
+                               key_count=len(columns))
 
 
 # --- distinct values --------------------------------------------------------

@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscout.operators.common import IN_MEMORY_ROWS, cut_lineage
+from tabscout.operators.common import BROADCAST_ROWS, IN_MEMORY_ROWS, cut_lineage
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               rows: int | None = None, exact: bool = True,
-              in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+              in_memory_rows: int = IN_MEMORY_ROWS, key_count: int | None = None) -> DataFrame:
     """Per key: `n` (non-null values), `distinct` and `q`, the quantiles at `probs`.
 
-    `rows` is the known number of rows of `df` (counted here when not given).
-    Values are counted first and then ranked. Up to `in_memory_rows` a window
-    per key does that; larger inputs are range-partitioned by (keys, value) and
-    ranked partition by partition, so that no task sees more than its share,
-    however large one key is. `exact=False` takes the sketch of
+    `rows` is the known number of rows of `df` (counted here when not given),
+    `key_count` a known bound on the number of keys.
+    Values are counted first and then ranked bucket by bucket. Up to
+    `in_memory_rows` the magnitude of a value is its bucket; larger inputs are
+    range-partitioned by (keys, value), so that no task sees more than its
+    share, however large one key is. `exact=False` takes the sketch of
     `approx_percentile` instead, which never shuffles the values.
     """
     keys = list(keys)
@@ -36,46 +37,59 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     grouping = keys or ["_all"]
     counted = data.groupBy(*grouping, value).agg(F.count("*").alias("n"))
     return quantiles_of_counts(
-        counted, grouping, value, probs, rows, in_memory_rows).select(*keys, "n", "distinct", "q")
+        counted, grouping, value, probs, rows, in_memory_rows, key_count).select(*keys, "n", "distinct", "q")
 
 
 def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
                         probs: Sequence[float], rows: int,
-                        in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
-    """As `quantiles`, from distinct values with their number of copies `n`."""
-    ranked = (_ranked_in_window(counted, list(keys), value) if rows <= in_memory_rows
-              else _ranked_by_range(counted, list(keys), value))
-    return _pick(ranked, list(keys), value, probs)
+                        in_memory_rows: int = IN_MEMORY_ROWS,
+                        key_count: int | None = None) -> DataFrame:
+    """As `quantiles`, from distinct values with their number of copies `n`.
 
-
-def _ranked_in_window(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("first", upto - F.col("n")).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*keys)))
-
-
-def _ranked_by_range(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Place of every distinct value, found within range partitions.
-
-    The partitioned counts are saved once, so that both uses below see the same
-    partition of every value, also when an executor is lost in between.
+    Values go into buckets that follow their order. Bucket sizes tell which few
+    buckets hold the wanted ranks; only the values in those are put in order.
     """
-    saved = cut_lineage(
-        counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    keys = list(keys)
+    if rows <= in_memory_rows:
+        bucketed = counted.withColumn("_bucket", _size_bucket(value))
+    else:
+        # Saved once, so that both uses below see the same bucket for every
+        # value, also when an executor is lost in between.
+        bucketed = cut_lineage(counted.repartitionByRange(*keys, value).withColumn(
+            "_bucket", F.spark_partition_id().cast("bigint")))
     per_key = Window.partitionBy(*keys)
-    earlier = per_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = saved.groupBy(*keys, "_part").agg(F.sum("n").alias("_in_part")).select(
-        *keys, "_part",
-        F.coalesce(F.sum("_in_part").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_in_part").over(per_key).alias("total"),
+    upto = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = bucketed.groupBy(*keys, "_bucket").agg(
+        F.sum("n").alias("_size"), F.count("*").alias("_values")
+    ).select(
+        *keys, "_bucket", "_size", (F.sum("_size").over(upto) - F.col("_size")).alias("_start"),
+        F.sum("_size").over(per_key).alias("total"),
+        F.sum("_values").over(per_key).alias("distinct"),
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(
+    ranks = [f"{side}((total - 1) * {float(p)!r}D)" for p in probs for side in ("floor", "ceil")]
+    holds = " OR ".join(f"({r} >= _start AND {r} < _start + _size)" for r in dict.fromkeys(ranks))
+    wanted = sizes.where(holds).select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("_bucket").alias("_at"), "_start", "total", "distinct")
+    # Null-safe on both sides: a filter on nulls would keep the two uses of the
+    # counts from sharing one shuffle.
+    if key_count is not None and key_count * 2 * len(probs) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    same = F.col("_bucket").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0)
-    return saved.join(offsets, [*keys, "_part"]).select(
-        *keys, value, "n",
-        (F.col("_before") + F.sum("n").over(inside) - F.col("n")).alias("first"), "total",
-    )
+    ranked = bucketed.join(wanted, same).select(
+        *keys, value, "n", "total", "distinct",
+        (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("first"))
+    return _pick(ranked, keys, value, probs)
+
+
+def _size_bucket(value: str) -> Column:
+    """A number that grows with the value, in steps of an eighth of its magnitude."""
+    x = F.col(value).cast("double")
+    return (F.signum(x) * F.floor(8 * F.log2(1 + F.abs(x)))).cast("bigint")
 
 
 def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -87,7 +101,7 @@ def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]
         return F.expr(f"max(CASE WHEN {here} THEN `{value}` END)")
 
     found = ranked.groupBy(*keys).agg(
-        F.max("total").alias("_total"), F.count("*").alias("distinct"),
+        F.max("total").alias("_total"), F.max("distinct").alias("distinct"),
         *[at(f"floor({s})").alias(f"_lo{i}") for i, s in enumerate(spots)],
         *[at(f"ceil({s})").alias(f"_hi{i}") for i, s in enumerate(spots)],
     )
@@ -103,7 +117,8 @@ def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, rows: int | None = None,
-                  in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+                  in_memory_rows: int = IN_MEMORY_ROWS, key_count: int | None = None
+                  ) -> DataFrame:
     """Per key: `n` values and their `median`."""
-    q = quantiles(df, keys, value, [0.5], rows, in_memory_rows=in_memory_rows)
+    q = quantiles(df, keys, value, [0.5], rows, True, in_memory_rows, key_count)
     return q.select(*keys, "n", F.element_at("q", 1).alias("median"))

@@ -29,11 +29,16 @@ def equal_count_probs(q: int) -> list[float]:
 
 
 def range_edges(cells: DataFrame, keys: Sequence[str], value: str, q: int, rows: int,
-                exact: bool = True) -> DataFrame:
-    """Per key the distinct edges of q equal-count ranges, and the number of values."""
-    found = quantiles(cells, keys, value, equal_count_probs(q), rows, exact)
-    return found.select(*keys, F.col("n").alias("rows_used"), "distinct",
-                        F.array_distinct("q").alias("edges"))
+                key_count: int, exact: bool = True) -> DataFrame:
+    """Per key the distinct edges of q equal-count ranges, and the number of values.
+
+    Keys are columns or pairs of them, so there are few edges; they are worked
+    out once and kept as a local DataFrame.
+    """
+    found = quantiles(
+        cells, keys, value, equal_count_probs(q), rows, exact, key_count=key_count).select(
+        *keys, F.col("n").alias("rows_used"), "distinct", F.array_distinct("q").alias("edges"))
+    return cells.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def range_number(value: str, q: int) -> Column:
@@ -60,7 +65,7 @@ def quantile_ranges(df: DataFrame, columns: Sequence[str], q: int, rows: int | N
     rows = df.count() if rows is None else rows
     cells = long_form(df, "name", "value", {c: as_number(df, c) for c in columns}).where(
         F.col("value").isNotNull())
-    edges = range_edges(cells, ["name"], "value", q, rows * len(columns), exact)
+    edges = range_edges(cells, ["name"], "value", q, rows * len(columns), len(columns), exact)
     placed = in_ranges(cells, edges, ["name"], "value", q, len(columns))
     return placed.groupBy("name", "range", "lo", "hi").agg(F.count("*").alias("n")).select(
         "name", "range", "lo", "hi", _label().alias("label"), "n")
@@ -79,15 +84,16 @@ def outcome_rate_by_range(df: DataFrame, outcomes: dict[str, str], measures: Seq
         {o: F.col(f) for o, f in flags.items()}, [F.col("measure"), F.col("value")],
     ).where(F.col("flag").isNotNull())
     keys, size = ["outcome", "measure"], rows * len(measures) * len(outcomes)
-    edges = range_edges(cells, keys, "value", q, size, exact)
-    placed = in_ranges(cells, edges, keys, "value", q, len(measures) * len(outcomes))
+    count = len(measures) * len(outcomes)
+    edges = range_edges(cells, keys, "value", q, size, count, exact)
+    placed = in_ranges(cells, edges, keys, "value", q, count)
     place = [*keys, "range"]
     rates = placed.groupBy(*place, "lo", "hi", "rows_used", "distinct").agg(
         F.count("*").alias("n"), F.avg("flag").alias("rate"))
-    middles = group_medians(placed.select(*place, "value"), place, "value", size).drop("n")
+    middles = group_medians(
+        placed.select(*place, "value"), place, "value", size, key_count=count * q).drop("n")
     view = Window.partitionBy(*keys)
-    ranges = len(measures) * len(outcomes) * q
-    kept = join_small(rates, middles, place, ranges).where(F.col("n") >= least)
+    kept = join_small(rates, middles, place, count * q).where(F.col("n") >= least)
     return kept.select(
         *place, "lo", "hi", _label().alias("label"), "n", "rate",
         F.col("median").alias("middle"), "rows_used", "distinct",
@@ -139,12 +145,12 @@ def relationship_by_range(df: DataFrame, pairs: Sequence[tuple[str, str]],
         for x, y in pairs
     ]).where(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
     keys, q, size = ["x", "y"], PAIR_RANGES, rows * len(pairs)
-    edges = range_edges(cells, keys, "x_value", q, size, exact)
+    edges = range_edges(cells, keys, "x_value", q, size, len(pairs), exact)
     placed = in_ranges(cells, edges, keys, "x_value", q, len(pairs))
     place = [*keys, "range"]
     sums = placed.groupBy(*place, "lo", "hi").agg(F.count("*").alias("n"))
     middles = [
-        group_medians(placed.select(*place, v), place, v, size).drop("n")
+        group_medians(placed.select(*place, v), place, v, size, key_count=len(pairs) * q).drop("n")
         .withColumnRenamed("median", name)
         for v, name in (("x_value", "x_middle"), ("y_value", "y_middle"))
     ]

@@ -52,8 +52,9 @@ def test_filters_reach_the_scan(lineitem):
 
 def test_large_quantiles_never_window_a_whole_key(spark, lineitem):
     text = plan(quantiles(lineitem, ["l_returnflag"], "l_extendedprice", [0.5], in_memory_rows=0))
-    windows = [x for x in text.splitlines() if "Window [" in x and "_in_part" not in x]
-    assert windows and all("_part" in x for x in windows)
+    windows = [x for x in text.splitlines() if "Window [" in x and "_size" not in x
+               and "_values" not in x]
+    assert windows and all("_bucket" in x for x in windows)
 
 
 def test_no_python_and_no_cross_join(lineitem):
