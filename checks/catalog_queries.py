@@ -17,7 +17,7 @@ KINDS = ["table", "bar_table", "line_table", "line", "histogram", "map"]
 
 
 def order_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog for every customer with orders: each order stands for a view."""
+    """A catalog for every 75 orders in a row: each order stands for a view."""
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     row = F.struct(
         F.col("o_orderpriority").alias("label"), key.alias("n"),
@@ -26,10 +26,10 @@ def order_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = F.array(*[F.lit(x) for x in FAMILIES])
     kinds = F.array(*[F.lit(x) for x in KINDS])
     return table(spark, sf_dir, "orders").select(
-        F.pmod("o_custkey", F.lit(200)).cast("string").alias("dataset"), key.alias("ord"),
+        F.floor(key / 75).cast("string").alias("dataset"), key.alias("ord"),
         F.concat(F.lit("v"), key.cast("string")).alias("id"),
         F.element_at(kinds, (F.pmod(key, F.lit(len(KINDS))) + 1).cast("int")).alias("kind"),
-        F.element_at(families, (F.pmod(F.floor(key / 7), F.lit(len(FAMILIES))) + 1).cast("int")
+        F.element_at(families, (F.pmod("o_custkey", F.lit(len(FAMILIES))) + 1).cast("int")
                      ).alias("family"),
         F.floor(F.col("o_totalprice") / 5000).cast("double").alias("score"),
         F.lit("?").alias("question"), F.concat(F.lit("Orders of "), day).alias("title"),
@@ -41,13 +41,13 @@ def order_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS = f"""
-    SELECT (o_custkey % 200)::VARCHAR AS dataset, 'v' || o_orderkey AS id,
+    SELECT (o_orderkey // 75)::VARCHAR AS dataset, 'v' || o_orderkey AS id,
       ({KINDS!r})[o_orderkey % {len(KINDS)} + 1] AS kind,
-      ({FAMILIES!r})[o_orderkey // 7 % {len(FAMILIES)} + 1] AS family,
+      ({FAMILIES!r})[o_custkey % {len(FAMILIES)} + 1] AS family,
       floor(o_totalprice / 5000) AS score, 'Orders of ' || strftime(o_orderdate, '%Y-%m-%d') AS title,
       'why ' || o_orderpriority AS why, o_orderpriority, o_orderstatus, o_totalprice,
       o_orderstatus <> 'P' AS passes,
-      row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS seq FROM orders
+      row_number() OVER (PARTITION BY o_orderkey // 75 ORDER BY o_orderkey) AS seq FROM orders
 """
 LIMITS = "CASE family " + " ".join(
     f"WHEN '{k}' THEN {v}" for k, v in w.FAMILY_LIMITS.items()) + f" ELSE {w.OTHER_FAMILY_LIMIT} END"
@@ -99,10 +99,10 @@ def select_views(spark, sf_dir):
         "dataset", "id", "family", "score", "place")
 
 
-ASKED = ("SELECT (o_custkey % 200)::VARCHAR AS dataset, "
-         "list('v' || (o_orderkey + CASE WHEN o_custkey % 200 < 80 THEN 10000000 ELSE 0 END) "
-         "ORDER BY o_totalprice, o_orderkey)[1:o_custkey % 200 % 11] AS ids FROM orders "
-         "WHERE o_custkey % 200 <> 7 GROUP BY o_custkey % 200")
+ASKED = ("SELECT (o_orderkey // 75)::VARCHAR AS dataset, list('v' || (o_orderkey "
+         "+ CASE WHEN o_orderkey // 75 % 5 < 2 THEN 1000000000000 ELSE 0 END) "
+         "ORDER BY o_totalprice, o_orderkey)[1:o_orderkey // 75 % 11] AS ids FROM orders "
+         "WHERE o_orderkey // 75 % 20 <> 7 GROUP BY o_orderkey // 75")
 
 
 @query("select_by_ids", f"""
@@ -123,12 +123,12 @@ ASKED = ("SELECT (o_custkey % 200)::VARCHAR AS dataset, "
     SELECT dataset, id, row_number() OVER (PARTITION BY dataset ORDER BY o)::INT AS place FROM both_parts
 """)
 def select_by_ids(spark, sf_dir):
-    part = F.pmod("o_custkey", F.lit(200))
-    ident = F.concat(F.lit("v"), (F.col("o_orderkey") + F.when(part < 80, 10_000_000).otherwise(
-        0)).cast("string"))
+    part = F.floor(F.col("o_orderkey") / 75)
+    ident = F.concat(F.lit("v"), (F.col("o_orderkey") + F.when(
+        F.pmod(part, F.lit(5)) < 2, 10**12).otherwise(0)).cast("string"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct(
         "o_totalprice", "o_orderkey", ident.alias("id")))), lambda s: s["id"])
-    wanted = table(spark, sf_dir, "orders").where(part != 7).groupBy(part.alias("_part")).agg(
+    wanted = table(spark, sf_dir, "orders").where(F.pmod(part, F.lit(20)) != 7).groupBy(part.alias("_part")).agg(
         ids.alias("_ids")).select(
         F.col("_part").cast("string").alias("dataset"),
         F.slice("_ids", F.lit(1), F.pmod("_part", F.lit(11)).cast("int")).alias("ids"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from checks.profile_queries import IS_ID, _has
 from checks.registry import query, rounded, table
@@ -234,9 +233,12 @@ def _near_same_sql(pairs: str, keys: str) -> str:
     "SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b "
     "FROM conversations", "conv_id, turn"))
 def near_same_turns(spark, sf_dir):
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("a"), before.alias("b"))
+    """Each turn with the one before it: a join on both keys, so a very long
+    conversation is spread over the tasks like any other."""
+    turns = table(spark, sf_dir, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("b"))
+    pairs = turns.select("conv_id", "turn", F.col("text").alias("a")).join(
+        before, ["conv_id", "turn"], "left")
     return rounded(near_same_text(pairs, "a", "b").drop("a", "b"), overlap=6)
 
 

@@ -56,8 +56,10 @@ def fixed_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | Non
     are copies of a few), it is raised until enough do; the rows that are left
     besides those copies are then few as well.
     """
-    hashed = df.withColumn("_h", row_hash(df, seed, key))
     total = df.count() if rows is None else rows
+    if total <= n:
+        return df
+    hashed = df.withColumn("_h", row_hash(df, seed, key))
     kept, share = hashed, OVERSAMPLE * n / max(total, 1)
     while share < 0.25:
         kept = hashed.where(hash_share(F.col("_h")) < int(share * HASH_STEPS))

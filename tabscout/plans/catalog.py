@@ -99,7 +99,9 @@ def select_views(catalog: DataFrame, max_views: int = w.MAX_VIEWS) -> DataFrame:
     """Best views under the limits per family and in all, numbered by `place`."""
     within = catalog.where("passes").withColumn(
         "_rank", F.row_number().over(_by_score("dataset", "family")))
-    kept = within.where(F.col("_rank") <= family_limit())
+    # The fixed bound lets Spark cut the ranks before the shuffle.
+    most = max(w.FAMILY_LIMITS.values())
+    kept = within.where((F.col("_rank") <= most) & (F.col("_rank") <= family_limit()))
     return kept.withColumn("place", F.row_number().over(_by_score("dataset"))).where(
         F.col("place") <= max_views).drop("_rank")
 
