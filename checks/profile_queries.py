@@ -330,7 +330,8 @@ def column_digest(spark, sf_dir):
 def table_profile(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     return cols.table_profile(
-        prof.profile_columns(labels, "labels"), prof.duplicate_rows(labels))
+        prof.profile_columns(labels, "labels"),
+        prof.duplicate_rows(labels).first().duplicate_rows)
 
 
 @query("first_values")

@@ -56,9 +56,9 @@ def column_digest(profile: DataFrame) -> DataFrame:
         "top_values", "positive_value")
 
 
-def table_profile(profile: DataFrame, duplicates: DataFrame) -> DataFrame:
+def table_profile(profile: DataFrame, duplicates: int) -> DataFrame:
     """One row per dataset: rows, columns, missing cells, duplicate rows."""
-    sums = profile.groupBy("dataset").agg(
+    return profile.groupBy("dataset").agg(
         F.max("rows").alias("rows"), F.count("*").alias("columns"),
-        F.sum(F.col("rows") - F.col("non_null")).alias("missing_cells"))
-    return sums.crossJoin(F.broadcast(duplicates.select("duplicate_rows")))
+        F.sum(F.col("rows") - F.col("non_null")).alias("missing_cells"),
+        F.lit(duplicates).cast("bigint").alias("duplicate_rows"))
