@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscout.functions import words as w
-from tabscout.functions.exprs import FLOATING, TEMPORAL, is_scalar, quoted, text_number, type_of
-from tabscout.operators.sampling import fixed_sample, row_hash
+from tabscout.functions.exprs import FLOATING, TEMPORAL, quoted, text_number, type_of
+from tabscout.operators.sampling import fixed_sample
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 
@@ -150,9 +150,3 @@ def to_json_rows(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
 
     options = {"ignoreNullFields": str(not keep_nulls).lower()}
     return df.select(F.to_json(F.struct(*[clean(c) for c in df.columns]), options).alias("json"))
-
-
-__all__ = [
-    "clean_header", "clean_names", "infer_types", "is_scalar", "null_tokens", "preview",
-    "read_table", "row_hash", "save_table", "table_meta", "to_json_rows",
-]
