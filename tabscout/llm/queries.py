@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscout.llm import exact_dedup, simhash_dedup
+import public_tokenizers
+from tabscout.llm import bpe, decontaminate, exact_dedup, simhash_dedup
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,45 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, words(text) AS w FROM documents),
+i AS (SELECT item_id, words(text) AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS t
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(s) WHERE len(w) > 0),
+p AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS t
+  FROM d, (SELECT DISTINCT k FROM win), unnest(range(1, len(w) - k + 2)) AS r(s)),
+hit AS (SELECT doc_id, s, p.k, item_id FROM p JOIN win ON p.k = win.k AND p.t = win.t),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM hit, unnest(range(s, s + k)) AS r(pos) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+#: The words of a text, A-Z lower-cased.
+OP4_SQL = OP4_SQL.replace("words(text)", r"regexp_extract_all(translate(coalesce(text, ''), "
+                          r"'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+                          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path(TOKENIZER)
+    found = bpe.decode(bpe.encode(docs, path), path)
+    return found.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -33,8 +75,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op7_bpe": op7_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
 }
