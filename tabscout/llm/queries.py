@@ -6,15 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, decontaminate, exact_dedup, simhash_dedup
+from tabscout.llm import bpe, decontaminate, exact_dedup, quality, simhash_dedup
+from tabscout.llm.common import id_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Columns whose numbers are features of quality.
+METADATA = ("n_chars",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_machine(docs: DataFrame, labels: DataFrame) -> quality.Machine:
+    return quality.train(docs, labels, "quality", id_bucket("doc_id", 3) != 1, metadata=METADATA)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality_machine(docs, table(spark, sf_dir, "labels")), metadata=METADATA)
+    return found.select(F.col("id").alias("doc_id"), (id_bucket("id", 3) == 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), all_digests=True)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -74,6 +88,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op7_bpe": op7_bpe,
