@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, chat, decontaminate, exact_dedup, quality, simhash_dedup, url_filter
+from tabscout.llm import bpe, chat, decontaminate, exact_dedup, quality, simhash_dedup, toxicity, url_filter
 from tabscout.llm.common import id_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,10 +94,17 @@ OP4_SQL = OP4_SQL.replace("words(text)", r"regexp_extract_all(translate(coalesce
                           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", id_bucket("doc_id", 4) != 2)
+    return toxicity.score(docs, lexicon).select(
+        F.col("id").alias("doc_id"), (id_bucket("id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = public_tokenizers.path(TOKENIZER)
-    found = bpe.decode(bpe.encode(docs, path), path)
+    found = bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded_col="decoded")
     return found.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -140,6 +147,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
