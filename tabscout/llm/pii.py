@@ -217,14 +217,16 @@ def pseudonymized(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     and only texts with one are worked on."""
     text = F.col(f"`{text_col}`").cast("string")
     has = text.rlike(ANY)
-    cut = docs.withColumns({
-        "_gaps": F.when(has, F.split(text, ANY, -1)),
-        "_old": F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))})
-    made = cut.withColumn("_new", F.transform("_old", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.flatten(F.zip_with(
-        F.col("_gaps"), F.concat(F.col("_new"), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    changed = F.size(F.filter(F.zip_with("_old", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
+    free = next(n for n in (f"_pii{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    cut = docs.withColumn(free, F.when(has, F.struct(
+        F.split(text, ANY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("old"))))
+    old = F.col(free)["old"]
+    made = cut.withColumn(free, F.when(F.col(free).isNotNull(), F.struct(
+        F.col(free)["gaps"].alias("gaps"), old.alias("old"), F.transform(old, lambda m: pseudonym(m, key)).alias("new"))))
+    gaps, old, new = (F.col(free)[k] for k in ("gaps", "old", "new"))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
     out = made.withColumns({
-        text_col: F.when(F.col("_old").isNull(), text).otherwise(joined),
-        "pii_found": F.when(F.col("_old").isNull(), F.lit(0)).otherwise(changed).cast("long")})
-    return out.drop("_gaps", "_old", "_new")
+        text_col: F.when(F.col(free).isNull(), text).otherwise(joined),
+        "pii_found": F.when(F.col(free).isNull(), F.lit(0)).otherwise(changed).cast("long")})
+    return out.drop(free)
