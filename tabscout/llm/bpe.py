@@ -27,7 +27,7 @@ from tabscout.llm.common import chunks, text_of
 #: How byte-level models cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose new words are encoded together.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 6 << 20
 #: Words kept encoded from one piece to the next; when there are more, all are forgotten.
 CACHED_WORDS = 400_000
 #: What the shift leaves for a symbol's id in a pair's key.
@@ -77,6 +77,10 @@ class Vocabulary:
         strings = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(strings)})") if strings else None
         self.words = regex.compile(PATTERN)
+        tokens = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
+        self.byte_counts = np.array([len(t) for t in tokens], np.int64)
+        self.byte_begins = np.cumsum(self.byte_counts) - self.byte_counts
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -172,6 +176,17 @@ class Vocabulary:
         edge = np.cumsum([0, *[len(w) for w in per_text]])
         return flat, np.diff(np.concatenate([[0], ends])[edge])
 
+    def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of ids end to end, of which each text has so many."""
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.byte_counts) or not self.byte_counts[flat].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        n = self.byte_counts[flat]
+        ends = np.cumsum(n)
+        total = int(n.sum())
+        raw = self.pool[np.repeat(self.byte_begins[flat] - (ends - n), n) + np.arange(total)].tobytes()
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut.tolist(), cut[1:].tolist())]
+
 
 def _apart(i: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of one symbol, from the left, those that share no position with one taken."""
@@ -195,11 +210,13 @@ def tokenizer_text(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids",
+           decoded_col: str | None = None) -> DataFrame:
     """docs with the token ids of each whole text in place of the text column; null counts as empty.
 
     Strings of added tokens in a text become those tokens; no others are added, nothing
-    is cut or padded. An empty text has an empty array. Other columns, whatever their names, stay."""
+    is cut or padded. An empty text has an empty array. decoded_col names a column for what
+    the ids decode to. Other columns, whatever their names, stay."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(None).cast("struct<none:int>").alias("rest"),
@@ -210,12 +227,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
         for b in chunks(batches, "text", PIECE_BYTES):
             flat, sizes = model.encode(b.column("text").to_pylist())
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rest"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rest", "ids"])
+            columns = [b.column("rest"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            if decoded_col:
+                columns.append(pa.array(model.decode(flat, sizes), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["rest", "ids", "decoded"][:len(columns)])
 
     kind = packed.schema["rest"].dataType.simpleString()
-    found = packed.mapInArrow(run, f"rest {kind}, ids array<int>")
-    return found.select(*([F.col("rest.*")] if rest else []), F.col("ids").alias(ids_col))
+    found = packed.mapInArrow(run, f"rest {kind}, ids array<int>" + ", decoded string" * bool(decoded_col))
+    return found.select(*([F.col("rest.*")] if rest else []), F.col("ids").alias(ids_col),
+                        *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -224,24 +244,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str =
 
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = vocabulary(shared.value)
-        size = max(model.token_bytes) + 1
-        lengths = np.array([len(model.token_bytes.get(i, b"")) for i in range(size)], np.int64)
-        pool = np.frombuffer(b"".join(model.token_bytes.get(i, b"") for i in range(size)), np.uint8)
-        begin = np.cumsum(lengths) - lengths
         for arrays in batches:
-            out = []
+            out: list[str] = []
             for start in range(0, len(arrays), 256):
                 part = arrays.slice(start, 256)
                 sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                ids = part.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() >= size or not lengths[ids].all()):
-                    raise ValueError("an id that the vocabulary lacks")
-                n = lengths[ids]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ids) else 0
-                flat = pool[np.repeat(begin[ids] - (ends - n), n) + np.arange(total)].tobytes()
-                cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-                out += [flat[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+                out += model.decode(part.flatten().to_numpy(zero_copy_only=False), sizes)
             yield pa.array([t if ok else None for t, ok in zip(out, arrays.is_valid().to_pylist())], pa.string())
 
     return df.withColumn(text_col, F.arrow_udf(texts, "string")(F.col(f"`{ids_col}`")))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, chat, decontaminate, exact_dedup, quality, simhash_dedup, toxicity, url_filter
-from tabscout.llm.common import id_bucket
+from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, simhash_dedup, suffix_dedup, toxicity, url_filter
+from tabscout.llm.common import id_bucket, landed
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The key of the query's pseudonyms; a user takes a secret one.
+PII_KEY = "documents"
 #: Columns whose numbers are features of quality.
 METADATA = ("n_chars",)
 
@@ -94,6 +96,11 @@ OP4_SQL = OP4_SQL.replace("words(text)", r"regexp_extract_all(translate(coalesce
                           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymized(docs, key=PII_KEY)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", id_bucket("doc_id", 4) != 2)
@@ -136,6 +143,17 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = landed(suffix_dedup.repeated_spans(docs))
+    kept = suffix_dedup.kept_bytes(docs, found).select("digest", F.sha2("kept", 256).alias("sha"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.join(kept, "digest", "left").select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.when(F.col("whole"), nothing).otherwise(F.coalesce("sha", "digest")).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -147,9 +165,11 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES = {
