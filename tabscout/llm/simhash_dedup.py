@@ -198,9 +198,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", "text_hash", "fp", F.col("name.id").alias("component_id"), "n_links", is_first.alias("first"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     width: int = SHINGLE_WORDS) -> DataFrame:
     """docs with one row of each group of linked fingerprints, the one with the smallest id; all columns kept."""
-    found = landed(near_groups(docs, id_col, text_col).select("id", "text_hash", "first"))
+    found = landed(near_groups(docs, id_col, text_col, width).select("id", "text_hash", "first"))
     per_key = found.groupBy("id", "text_hash").agg(F.max("first").alias("some"), F.count(F.lit(1)).alias("n"))
     return without(docs, per_key.where("not some"), per_key.where("some and n > 1"),
                    {"id": F.col(f"`{id_col}`"), "text_hash": F.xxhash64(text_of(f"`{text_col}`"))})
