@@ -45,7 +45,9 @@ MAX_PHRASES = 5000
 SAMPLE_PER_CLASS = 5000
 SEED = 11
 _INVISIBLE = regex.compile(r"[\p{Mn}\p{Cf}]+")
-_SIGNED = regex.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[0134578@$!|]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578$](?![\w@$!|])")
+_SIGNED = regex.compile(
+    r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[0134578@$!|]{1,2}(?=[^\W\d_][\w@$!|]*[^\W\d_])"
+    r"|(?<=[^\W\d_]{2})[0134578$](?![\w@$!|])")
 _GAPS = regex.compile(r"[^a-z]+")
 
 
