@@ -107,19 +107,18 @@ ASKED = ("SELECT (o_orderkey // 75)::VARCHAR AS dataset, list('v' || (o_orderkey
 
 @query("select_by_ids", f"""
     WITH views AS ({VIEWS}), picked AS ({SELECTED}), asked AS ({ASKED}),
-    flat AS (SELECT dataset, len(ids) AS asks, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
-      FROM asked),
-    given AS (SELECT v.dataset, v.id, pos, asks FROM views v JOIN flat USING (dataset, id) WHERE passes),
-    counts AS (SELECT v.dataset, any_value(len(ids)) AS asks, (SELECT count(*) FROM given g
+    flat AS (SELECT dataset, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM asked),
+    given AS (SELECT v.dataset, v.id, pos FROM views v JOIN flat USING (dataset, id) WHERE passes),
+    counts AS (SELECT v.dataset, (SELECT count(*) FROM given g
       WHERE g.dataset = v.dataset) AS given FROM (SELECT DISTINCT dataset FROM views) v
       LEFT JOIN asked USING (dataset) GROUP BY v.dataset),
-    spare AS (SELECT p.dataset, p.id, p.place, c.asks, c.given,
+    spare AS (SELECT p.dataset, p.id, p.place, c.given,
       row_number() OVER (PARTITION BY p.dataset ORDER BY p.place) AS k
       FROM picked p JOIN counts c USING (dataset)
       WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.dataset = p.dataset AND g.id = p.id)),
     both_parts AS (SELECT dataset, id, pos AS o FROM given UNION ALL
       SELECT dataset, id, 1000000 + place FROM spare WHERE given < 4 AND k + given <=
-        CASE WHEN coalesce(asks, 0) = 0 THEN 12 ELSE least(12, greatest(8, asks)) END)
+        CASE WHEN given = 0 THEN 12 ELSE 8 END)
     SELECT dataset, id, row_number() OVER (PARTITION BY dataset ORDER BY o)::INT AS place FROM both_parts
 """)
 def select_by_ids(spark, sf_dir):
@@ -174,6 +173,21 @@ def overlay_texts(spark, sf_dir):
     return c.overlay_texts(catalog, texts).select("dataset", "id", "title", "why", "takeaway")
 
 
+@query("overlay_texts_in_turn", f"""
+    SELECT dataset, id, CASE WHEN substr(id, 2)::BIGINT % 3 = 0 THEN 'Second of ' || id ELSE 'First of ' || id END AS title,
+      CASE WHEN substr(id, 2)::BIGINT % 2 = 0 THEN 'Reason of ' || id ELSE why END AS why FROM ({VIEWS})
+""")
+def overlay_texts_in_turn(spark, sf_dir):
+    catalog = c.build_catalog([order_views(spark, sf_dir)])
+    k = F.substring("id", 2, 20).cast("bigint")
+    none = F.lit(None).cast("string")
+    first = catalog.select("dataset", "id", F.concat(F.lit("\n First of "), "id", F.lit("\t\r\n")).alias("title"),
+                           F.when(k % 2 == 0, F.concat(F.lit("Reason of "), "id")).alias("why"), F.lit(1).alias("pos"))
+    second = catalog.select("dataset", "id", F.when(k % 3 == 0, F.concat(F.lit("Second of "), "id")).when(
+        k % 3 == 1, F.repeat(F.lit("long "), 40)).alias("title"), none.alias("why"), F.lit(2).alias("pos"))
+    return c.overlay_texts(catalog, second.unionByName(first)).select("dataset", "id", "title", "why")
+
+
 @query("catalog_digest", f"""
     SELECT * FROM (SELECT dataset, id, score, why,
       row_number() OVER (PARTITION BY dataset ORDER BY score DESC, seq)::INT AS rank, 1 AS previews

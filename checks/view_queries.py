@@ -287,13 +287,12 @@ def _pairs() -> str:
 
 
 @query("pair_correlations", f"""
-    SELECT x, y, n, round(r, 6) AS r, round(59 + least(22 * abs(r), 18), 6) AS score,
+    SELECT x, y, n, round(r, 6) AS r, CASE WHEN r IS NOT NULL THEN round(59 + least(22 * abs(r), 18), 6) END AS score,
       coalesce(n >= 100 AND abs(r) >= 0.55, false) AS passes FROM ({_pairs()})
 """)
 def pair_correlations(spark, sf_dir):
     found = r.pair_correlations(with_net(spark, sf_dir), NET_COLUMNS).drop("pair")
-    return rounded(found, r=6, score=6).withColumn(
-        "score", F.when(F.col("r").isNotNull(), F.col("score")).otherwise(77.0))
+    return rounded(found, r=6, score=6)
 
 
 def _relationship(pairs: list[tuple[str, str]]) -> str:

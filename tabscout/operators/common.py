@@ -8,9 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows an exact quantile may be held in the memory of one task;
-# above it the values are ordered by the cluster (see quantiles.py).
-IN_MEMORY_ROWS = 5_000_000
 # A table of at most this many rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 # Columns handled by one unpivot; each one multiplies the rows passed on.

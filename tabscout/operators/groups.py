@@ -18,7 +18,6 @@ from tabscout.operators.common import long_form, union_all
 from tabscout.operators.quantiles import group_medians
 
 SHOWN_GROUPS = 12
-RATED_GROUPS = 30
 
 
 def outcome_flag(df: DataFrame, name: str, positive: str) -> Column:
@@ -77,8 +76,12 @@ def largest_groups(df: DataFrame, segments: Sequence[str], groups: DataFrame | N
 
 def outcome_rate_by_segment(df: DataFrame, outcomes: dict[str, str], segments: Sequence[str],
                             rows: int | None = None, groups: DataFrame | None = None,
-                            top: int = SHOWN_GROUPS) -> DataFrame:
-    """Share of the positive class per group; only groups of enough rows count."""
+                            top: int | None = SHOWN_GROUPS, rated: int | None = None) -> DataFrame:
+    """Share of the positive class per group; only groups of enough rows count.
+
+    `top` is how many of the highest rates are returned, `rated` may bound the rated groups
+    to the largest ones; None is all.
+    """
     rows = df.count() if rows is None else rows
     least = min_group(rows)
     groups = group_pass(df, segments, outcomes) if groups is None else groups
@@ -94,7 +97,9 @@ def outcome_rate_by_segment(df: DataFrame, outcomes: dict[str, str], segments: S
     by_rate = view.orderBy(F.desc("rate"), F.desc("n"), "value")
     sized = rates.select(
         "*", F.row_number().over(by_size).alias("_size"), F.sum("n").over(view).alias("rows_used"))
-    kept = sized.where((F.col("_size") <= RATED_GROUPS) & (F.col("n") >= least))
+    kept = sized.where(F.col("n") >= least)
+    if rated is not None:
+        kept = kept.where(F.col("_size") <= rated)
     return kept.select(
         "outcome", "segment", "value", "n", "rate", "rows_used",
         F.row_number().over(by_rate).alias("rank"),
@@ -104,7 +109,7 @@ def outcome_rate_by_segment(df: DataFrame, outcomes: dict[str, str], segments: S
         "*", (84 + F.least(60 * F.col("spread"), F.lit(16.0))).alias("score"),
         ((F.col("rows_used") >= 2 * least) & (F.col("groups") >= 2)
          & (F.col("spread") >= 0.08)).alias("passes"),
-    ).where(F.col("rank") <= top)
+    ).where(F.lit(True) if top is None else F.col("rank") <= top)
 
 
 def measure_aggs(df: DataFrame, measures: Sequence[str]) -> dict[str, str]:
@@ -114,7 +119,7 @@ def measure_aggs(df: DataFrame, measures: Sequence[str]) -> dict[str, str]:
 
 
 def _group_medians(df: DataFrame, segments: Sequence[str], measures: Sequence[str],
-                   rows: int) -> DataFrame:
+                   exact: bool) -> DataFrame:
     texts = {s: F.coalesce(group_text(df, s), F.lit("nan")) for s in segments}
     keep = [as_number(df, m).alias(f"_m{j}") for j, m in enumerate(measures)]
     wide = long_form(df, "segment", "value", texts, keep)
@@ -122,13 +127,14 @@ def _group_medians(df: DataFrame, segments: Sequence[str], measures: Sequence[st
         wide, "measure", "_x", {m: F.col(f"_m{j}") for j, m in enumerate(measures)},
         [F.col("segment"), F.col("value")]).where(F.col("_x").isNotNull())
     return group_medians(
-        cells, ["measure", "segment", "value"], "_x", rows * len(segments) * len(measures)
+        cells, ["measure", "segment", "value"], "_x", exact
     ).withColumnRenamed("median", "metric")
 
 
 def metric_by_segment(df: DataFrame, measures: Sequence[str], segments: Sequence[str],
                       rows: int | None = None, groups: DataFrame | None = None,
-                      aggs: dict[str, str] | None = None, top: int = SHOWN_GROUPS) -> DataFrame:
+                      aggs: dict[str, str] | None = None, top: int = SHOWN_GROUPS,
+                      exact: bool = True) -> DataFrame:
     """Total, average or typical value of a measure per group.
 
     The null value of a segment is a group, shown as `nan`.
@@ -151,7 +157,7 @@ def metric_by_segment(df: DataFrame, measures: Sequence[str], segments: Sequence
                 .select(F.lit(m).alias("measure"), "segment", "value", "n", "metric"))
     medians = [m for m in measures if aggs[m] == "median"]
     if medians:
-        parts.append(_group_medians(df, segments, medians, rows))
+        parts.append(_group_medians(df, segments, medians, exact))
     agg = F.create_map(*[F.lit(x) for m in measures for x in (m, aggs[m])])
     view = Window.partitionBy("measure", "segment")
     by_metric = view.orderBy(F.desc("metric"), "value")

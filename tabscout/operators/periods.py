@@ -14,8 +14,6 @@ from tabscout.operators.groups import measure_aggs
 from tabscout.operators.profile import date_range
 from tabscout.operators.quantiles import group_medians
 
-DATE_COLUMNS = 3
-DATE_MEASURES = 5
 MONTH_SPAN_DAYS = 120
 
 
@@ -58,8 +56,7 @@ def _starts(df: DataFrame, dates: dict[str, str | None], units: dict[str, str],
 
 def rows_over_time(df: DataFrame, dates: dict[str, str | None],
                    units: dict[str, str] | None = None) -> DataFrame:
-    """Rows per period of up to three date columns; empty periods are 0."""
-    dates = dict(list(dates.items())[:DATE_COLUMNS])
+    """Rows per period of each date column; empty periods are 0."""
     units = period_units(df, dates) if units is None else units
     if not any(c in units for c in dates):
         return df.sparkSession.createDataFrame(
@@ -81,15 +78,13 @@ def rows_over_time(df: DataFrame, dates: dict[str, str | None],
 
 def metric_over_time(df: DataFrame, dates: dict[str, str | None], measures: Sequence[str],
                      rows: int | None = None, units: dict[str, str] | None = None,
-                     aggs: dict[str, str] | None = None) -> DataFrame:
-    """Total, average or typical value per period, first five measures.
+                     aggs: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
+    """Total, average or typical value per period.
 
     An empty period is 0 for a total and left out otherwise.
     """
-    dates = dict(list(dates.items())[:DATE_COLUMNS])
-    measures = list(measures)[:DATE_MEASURES]
+    measures = list(measures)
     units = period_units(df, dates) if units is None else units
-    rows = df.count() if rows is None else rows
     aggs = aggs or measure_aggs(df, measures)
     summed = [m for m in measures if aggs[m] != "median"]
     medians = [m for m in measures if aggs[m] == "median"]
@@ -116,7 +111,7 @@ def metric_over_time(df: DataFrame, dates: dict[str, str | None], measures: Sequ
                 base, "measure", "_x", {m: F.col(f"_x{measures.index(m)}") for m in medians},
                 [F.col("start")])
             parts.append(
-                group_medians(cells, ["measure", "start"], "_x", rows * len(medians))
+                group_medians(cells, ["measure", "start"], "_x", exact)
                 .select(F.lit(c).alias("date_column"), unit, "measure", "start", "n",
                         F.col("median").alias("metric")))
     if not parts:

@@ -24,7 +24,7 @@ from tabscout.functions.names import human_label, name_has, name_is_bad_axis, na
 from tabscout.operators.common import (
     JOB_CHUNK, chunks, counts_by_value, cut_lineage, long_form, stack_row, union_all,
 )
-from tabscout.operators.quantiles import quantiles_of_counts
+from tabscout.operators.quantiles import quantiles
 from tabscout.operators.sampling import HASH_STEPS, hash_share, lowest_hash_rows, row_hash
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -158,17 +158,14 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], rows: int | None = No
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                      rows: int | None = None, exact: bool = True) -> DataFrame:
     """`name, n, q`: quantiles of the finite values of several columns."""
-    if rows is None:
-        rows = df.count()
     if not exact:
         def one(c: str) -> Column:
             x = as_number(df, c)
             q = F.percentile_approx(x, list(probs), 10_000)
             return F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), q.alias("q"))
         return stack_row([one(c) for c in columns], df)
-    counted = counts_by_value(df, {c: as_number(df, c) for c in columns})
-    return quantiles_of_counts(counted, ["name"], "value", probs, rows * len(columns),
-                               key_count=len(columns))
+    cells = long_form(df, "name", "value", {c: as_number(df, c) for c in columns})
+    return quantiles(cells, ["name"], "value", probs, key_count=len(columns))
 
 
 # --- distinct values --------------------------------------------------------

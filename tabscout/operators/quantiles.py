@@ -8,117 +8,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscout.operators.common import BROADCAST_ROWS, IN_MEMORY_ROWS, cut_lineage
+from tabscout.operators.common import BROADCAST_ROWS
+
+# Equal steps that a bucket with a wanted rank is split into.
+SPLITS = 4096
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              rows: int | None = None, exact: bool = True,
-              in_memory_rows: int = IN_MEMORY_ROWS, key_count: int | None = None) -> DataFrame:
-    """Per key: `n` (non-null values), `distinct` and `q`, the quantiles at `probs`.
-
-    `rows` is the known number of rows of `df` (counted here when not given),
-    `key_count` a known bound on the number of keys.
-    Values are counted first and then ranked bucket by bucket. Up to
-    `in_memory_rows` the magnitude of a value is its bucket; larger inputs are
-    range-partitioned by (keys, value), so that no task sees more than its
-    share, however large one key is. `exact=False` takes the sketch of
-    `approx_percentile` instead, which never shuffles the values.
+              exact: bool = True, key_count: int | None = None) -> DataFrame:
+    """Per key: `n` (non-null values) and `q`, the quantiles at `probs`.
+
+    `key_count` is a known bound on the number of keys. Only counts are shuffled:
+    values are counted by magnitude, the buckets that hold the wanted ranks are
+    split into equal steps and counted again, and only the values in the steps that
+    hold the ranks, with their number of copies, are put in order. `exact=False`
+    takes the sketch of `approx_percentile` instead.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     if not exact:
         q = F.percentile_approx(value, list(probs), 10_000)
-        return data.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.approx_count_distinct(value).alias("distinct"), q.alias("q"))
-    if rows is None:
-        rows = data.count()
-    if not keys:
-        data = data.withColumn("_all", F.lit(1))
-    grouping = keys or ["_all"]
-    counted = data.groupBy(*grouping, value).agg(F.count("*").alias("n"))
-    return quantiles_of_counts(
-        counted, grouping, value, probs, rows, in_memory_rows, key_count).select(*keys, "n", "distinct", "q")
-
-
-def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], value: str,
-                        probs: Sequence[float], rows: int,
-                        in_memory_rows: int = IN_MEMORY_ROWS,
-                        key_count: int | None = None) -> DataFrame:
-    """As `quantiles`, from distinct values with their number of copies `n`.
-
-    Values go into buckets that follow their order. Bucket sizes tell which few
-    buckets hold the wanted ranks; only the values in those are put in order.
-    """
-    keys = list(keys)
-    if rows <= in_memory_rows:
-        bucketed = counted.withColumn("_bucket", _size_bucket(value))
-    else:
-        # Saved once, so that both uses below see the same bucket for every
-        # value, also when an executor is lost in between.
-        bucketed = cut_lineage(counted.repartitionByRange(*keys, value).withColumn(
-            "_bucket", F.spark_partition_id().cast("bigint")))
-    per_key = Window.partitionBy(*keys)
-    upto = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(
-        F.sum("n").alias("_size"), F.count("*").alias("_values")
-    ).select(
-        *keys, "_bucket", "_size", (F.sum("_size").over(upto) - F.col("_size")).alias("_start"),
-        F.sum("_size").over(per_key).alias("total"),
-        F.sum("_values").over(per_key).alias("distinct"),
-    )
-    ranks = [f"{side}((total - 1) * {float(p)!r}D)" for p in probs for side in ("floor", "ceil")]
-    holds = " OR ".join(f"({r} >= _start AND {r} < _start + _size)" for r in dict.fromkeys(ranks))
-    wanted = sizes.where(holds).select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_at"), "_start", "total", "distinct")
-    # Null-safe on both sides: a filter on nulls would keep the two uses of the
-    # counts from sharing one shuffle.
-    if key_count is not None and key_count * 2 * len(probs) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    same = F.col("_bucket").eqNullSafe(F.col("_at"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = bucketed.join(wanted, same).select(
-        *keys, value, "n", "total", "distinct",
-        (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("first"))
-    return _pick(ranked, keys, value, probs)
-
-
-def _size_bucket(value: str) -> Column:
-    """A number that grows with the value, in steps of an eighth of its magnitude."""
-    x = F.col(value).cast("double")
-    return (F.signum(x) * F.floor(8 * F.log2(1 + F.abs(x)))).cast("bigint")
-
-
-def _pick(ranked: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+        return data.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q"))
+    groups = [f"_g{i}" for i in range(max(len(keys), 1))]
+    named = [F.col(k).alias(g) for k, g in zip(keys, groups)] or [F.lit(1).alias("_g0")]
+    x = F.col("_x").cast("double")
+    few = key_count is not None and key_count * 2 * len(probs) <= BROADCAST_ROWS
+    rows = data.select(*named, F.col(value).alias("_x")).withColumn("_bucket", _magnitude(x))
+    sizes = rows.groupBy(*groups, "_bucket").agg(
+        F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    upto = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = _holding(sizes.select(
+        *groups, "_bucket", "_n", "_lo", "_hi", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
+        F.sum("_n").over(Window.partitionBy(*groups)).alias("_total")), probs)
+    step = F.coalesce(F.floor(F.try_divide((x - F.col("_lo")) * SPLITS, F.col("_hi") - F.col("_lo"))), F.lit(0))
+    split = _join(rows, coarse, [*groups, "_bucket"], few).withColumn("_step", step).drop("_lo", "_hi", "_n")
+    upto = Window.partitionBy(*groups, "_bucket").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    fine = _holding(split.groupBy(*groups, "_bucket", "_step", "_start", "_total").agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n")), probs)
+    place = [*groups, "_bucket", "_step"]
+    left = _join(split.drop("_start", "_total"), fine.drop("_n"), place, few)
+    counted = left.groupBy(*place, "_start", "_total", "_x").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*place).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_first", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
+    found = _pick(ranked, groups, probs)
+    return found.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "n", "q")
+
+
+def _magnitude(x: Column) -> Column:
+    """A number that grows with the value, in eighths of its binary exponent."""
+    size = F.floor(8 * F.log2(F.abs(x))) + 8 * 1080
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * size).cast("bigint")
+
+
+def _ranks(p: float) -> list[str]:
+    return [f"{side}((_total - 1) * {float(p)!r}D)" for side in ("floor", "ceil")]
+
+
+def _holding(sizes: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Those of the parts (`_start`, `_n`, `_total`) that hold a wanted rank."""
+    ranks = dict.fromkeys(r for p in probs for r in _ranks(p))
+    return sizes.where(" OR ".join(f"({r} >= _start AND {r} < _start + _n)" for r in ranks))
+
+
+def _join(rows: DataFrame, parts: DataFrame, on: Sequence[str], few: bool) -> DataFrame:
+    """The rows in the wanted parts; null keys are keys like others."""
+    other = parts.select(*[F.col(c).alias(f"{c}_at" if c in on else c) for c in parts.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_at"))
+    return rows.join(F.broadcast(other) if few else other, same).drop(*[f"{c}_at" for c in on])
+
+
+def _pick(ranked: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
     """Interpolate between the values at the two ranks next to each quantile."""
-    spots = [f"(total - 1) * {float(p)!r}D" for p in probs]
-
     def at(rank: str) -> Column:
-        here = f"first <= {rank} AND {rank} < first + n"
-        return F.expr(f"max(CASE WHEN {here} THEN `{value}` END)")
+        return F.expr(f"max(CASE WHEN _first <= {rank} AND {rank} < _first + _n THEN _x END)")
 
-    found = ranked.groupBy(*keys).agg(
-        F.max("total").alias("_total"), F.max("distinct").alias("distinct"),
-        *[at(f"floor({s})").alias(f"_lo{i}") for i, s in enumerate(spots)],
-        *[at(f"ceil({s})").alias(f"_hi{i}") for i, s in enumerate(spots)],
-    )
+    found = ranked.groupBy(*groups).agg(
+        F.max("_total").alias("n"),
+        *[at(r).alias(f"_{side}{i}") for i, p in enumerate(probs) for side, r in zip(("lo", "hi"), _ranks(p))])
 
     def mixed(i: int, p: float) -> Column:
         lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        spot = (F.col("_total") - 1) * F.lit(float(p))
+        spot = (F.col("n") - 1) * F.lit(float(p))
         return lo + (hi - lo) * (spot - F.floor(spot))
 
-    return found.select(
-        *keys, F.col("_total").alias("n"), "distinct",
-        F.array(*[mixed(i, p) for i, p in enumerate(probs)]).alias("q"))
+    return found.select(*groups, "n", F.array(*[mixed(i, p) for i, p in enumerate(probs)]).alias("q"))
 
 
-def group_medians(df: DataFrame, keys: Sequence[str], value: str, rows: int | None = None,
-                  in_memory_rows: int = IN_MEMORY_ROWS, key_count: int | None = None
-                  ) -> DataFrame:
+def group_medians(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True,
+                  key_count: int | None = None) -> DataFrame:
     """Per key: `n` values and their `median`."""
-    q = quantiles(df, keys, value, [0.5], rows, True, in_memory_rows, key_count)
+    q = quantiles(df, keys, value, [0.5], exact, key_count)
     return q.select(*keys, "n", F.element_at("q", 1).alias("median"))

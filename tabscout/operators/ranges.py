@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tabscout.functions.exprs import as_number, min_group, range_label
 from tabscout.operators.common import (
-    counts_by_value, join_small, long_form, stack_row, union_all,
+    counts_by_value, join_small, long_form, stack_row,
 )
 from tabscout.operators.groups import outcome_flag
 from tabscout.operators.profile import column_quantiles
@@ -20,7 +20,6 @@ from tabscout.operators.sampling import fixed_sample, row_hash
 
 OUTCOME_RANGES = 5
 PAIR_RANGES = 6
-PAIR_MEASURES = 14
 BINS = 38
 
 
@@ -28,16 +27,15 @@ def equal_count_probs(q: int) -> list[float]:
     return [i / q for i in range(q + 1)]
 
 
-def range_edges(cells: DataFrame, keys: Sequence[str], value: str, q: int, rows: int,
+def range_edges(cells: DataFrame, keys: Sequence[str], value: str, q: int,
                 key_count: int, exact: bool = True) -> DataFrame:
     """Per key the distinct edges of q equal-count ranges, and the number of values.
 
     Keys are columns or pairs of them, so there are few edges; they are worked
     out once and kept as a local DataFrame.
     """
-    found = quantiles(
-        cells, keys, value, equal_count_probs(q), rows, exact, key_count=key_count).select(
-        *keys, F.col("n").alias("rows_used"), "distinct", F.array_distinct("q").alias("edges"))
+    found = quantiles(cells, keys, value, equal_count_probs(q), exact, key_count).select(
+        *keys, F.col("n").alias("rows_used"), F.array_distinct("q").alias("edges"))
     return cells.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
@@ -62,10 +60,9 @@ def _label() -> Column:
 def quantile_ranges(df: DataFrame, columns: Sequence[str], q: int, rows: int | None = None,
                     exact: bool = True) -> DataFrame:
     """`name, range, lo, hi, label, n` of q equal-count ranges per column."""
-    rows = df.count() if rows is None else rows
     cells = long_form(df, "name", "value", {c: as_number(df, c) for c in columns}).where(
         F.col("value").isNotNull())
-    edges = range_edges(cells, ["name"], "value", q, rows * len(columns), len(columns), exact)
+    edges = range_edges(cells, ["name"], "value", q, len(columns), exact)
     placed = in_ranges(cells, edges, ["name"], "value", q, len(columns))
     return placed.groupBy("name", "range", "lo", "hi").agg(F.count("*").alias("n")).select(
         "name", "range", "lo", "hi", _label().alias("label"), "n")
@@ -83,17 +80,19 @@ def outcome_rate_by_range(df: DataFrame, outcomes: dict[str, str], measures: Seq
         wide.where(F.col("value").isNotNull()), "outcome", "flag",
         {o: F.col(f) for o, f in flags.items()}, [F.col("measure"), F.col("value")],
     ).where(F.col("flag").isNotNull())
-    keys, size = ["outcome", "measure"], rows * len(measures) * len(outcomes)
-    count = len(measures) * len(outcomes)
-    edges = range_edges(cells, keys, "value", q, size, count, exact)
+    keys, count = ["outcome", "measure"], len(measures) * len(outcomes)
+    edges = range_edges(cells, keys, "value", q, count, exact)
+    # The pass rule asks for eight different values; a sketch will not do for that.
+    different = cells.groupBy(*keys).agg(F.count_distinct("value").alias("distinct"))
     placed = in_ranges(cells, edges, keys, "value", q, count)
     place = [*keys, "range"]
-    rates = placed.groupBy(*place, "lo", "hi", "rows_used", "distinct").agg(
+    rates = placed.groupBy(*place, "lo", "hi", "rows_used").agg(
         F.count("*").alias("n"), F.avg("flag").alias("rate"))
     middles = group_medians(
-        placed.select(*place, "value"), place, "value", size, key_count=count * q).drop("n")
+        placed.select(*place, "value"), place, "value", exact, key_count=count * q).drop("n")
     view = Window.partitionBy(*keys)
-    kept = join_small(rates, middles, place, count * q).where(F.col("n") >= least)
+    kept = join_small(join_small(rates, middles, place, count * q), different, keys, count).where(
+        F.col("n") >= least)
     return kept.select(
         *place, "lo", "hi", _label().alias("label"), "n", "rate",
         F.col("median").alias("middle"), "rows_used", "distinct",
@@ -108,55 +107,60 @@ def outcome_rate_by_range(df: DataFrame, outcomes: dict[str, str], measures: Seq
 
 # --- pairs ---------------------------------------------------------------------
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The finite numbers of the columns under short names, and those names."""
+    spot = {c: f"x{i}" for i, c in enumerate(columns)}
+    return df.select(*[as_number(df, c).alias(x) for c, x in spot.items()]), spot
+
+
 def pair_correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Pearson r of every pair of measures over the rows where both are finite.
 
-    A measure that is constant on those rows has no r.
+    A measure that is constant on those rows has no r, and then no score. All pairs
+    come from one scan; a row is laid out as its pairs, which are summed up before the
+    one small exchange.
     """
-    measures = list(measures)[:PAIR_MEASURES]
-    base = df.select(*[as_number(df, m).alias(f"x{i}") for i, m in enumerate(measures)])
-
-    def one(i: int, j: int) -> Column:
-        a, b = f"x{i}", f"x{j}"
-        va = f"CASE WHEN {b} IS NOT NULL THEN {a} END"
-        vb = f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-        r = (f"CASE WHEN min({va}) < max({va}) AND min({vb}) < max({vb}) THEN "
-             f"try_divide(covar_pop({a}, {b}), stddev_pop({va}) * stddev_pop({vb})) END")
-        return F.struct(
-            F.lit(i * len(measures) + j).alias("pair"), F.lit(measures[i]).alias("x"),
-            F.lit(measures[j]).alias("y"), F.expr(f"count({va})").alias("n"),
-            F.expr(r).alias("r"))
-
-    pairs = [one(i, j) for i, j in combinations(range(len(measures)), 2)]
+    measures = list(measures)
+    schema = "pair int, x string, y string, n bigint, r double, score double, passes boolean"
+    pairs = [(i * len(measures) + j, a, b) for (i, a), (j, b) in combinations(enumerate(measures), 2)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    base, spot = _numbers(df, measures)
+    cells = base.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("pair"), F.col(spot[a]).alias("a"), F.col(spot[b]).alias("b")) for k, a, b in pairs])))
+    whole = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(True))
+    a, b = F.when(whole, F.col("a")), F.when(whole, F.col("b"))
+    sums = cells.groupBy("pair").agg(
+        F.count(whole).alias("n"), F.covar_pop(a, b).alias("c"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"),
+        ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("vary"))
+    names = df.sparkSession.createDataFrame(pairs, "pair int, x string, y string")
     strength = F.abs("r")
-    return stack_row(pairs, base).select(
-        "pair", "x", "y", "n", "r",
-        (59 + F.least(22 * strength, F.lit(18.0))).alias("score"),
+    found = names.join(F.broadcast(sums), "pair", "left").select(
+        "pair", "x", "y", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        F.when(F.col("vary"), F.try_divide("c", F.col("sa") * F.col("sb"))).alias("r"))
+    return found.select(
+        "*", F.when(strength.isNotNull(), 59 + F.least(22 * strength, F.lit(18.0))).alias("score"),
         F.coalesce((F.col("n") >= 100) & (strength >= 0.55), F.lit(False)).alias("passes"))
 
 
 def relationship_by_range(df: DataFrame, pairs: Sequence[tuple[str, str]],
                           rows: int | None = None, exact: bool = True) -> DataFrame:
     """Count and typical x and y per equal-count range of x, for linked pairs."""
-    rows = df.count() if rows is None else rows
-    cells = union_all([
-        df.select(F.lit(x).alias("x"), F.lit(y).alias("y"), as_number(df, x).alias("x_value"),
-                  as_number(df, y).alias("y_value"))
-        for x, y in pairs
-    ]).where(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
-    keys, q, size = ["x", "y"], PAIR_RANGES, rows * len(pairs)
-    edges = range_edges(cells, keys, "x_value", q, size, len(pairs), exact)
+    base, spot = _numbers(df, sorted({c for p in pairs for c in p}))
+    each = F.array(*[F.struct(
+        F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(spot[x]).alias("x_value"), F.col(spot[y]).alias("y_value"))
+        for x, y in pairs])
+    cells = base.select(F.inline(each)).where(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
+    keys, q = ["x", "y"], PAIR_RANGES
+    edges = range_edges(cells, keys, "x_value", q, len(pairs), exact)
     placed = in_ranges(cells, edges, keys, "x_value", q, len(pairs))
     place = [*keys, "range"]
     sums = placed.groupBy(*place, "lo", "hi").agg(F.count("*").alias("n"))
-    middles = [
-        group_medians(placed.select(*place, v), place, v, size, key_count=len(pairs) * q).drop("n")
-        .withColumnRenamed("median", name)
-        for v, name in (("x_value", "x_middle"), ("y_value", "y_middle"))
-    ]
-    out = sums
-    for middle in middles:
-        out = join_small(out, middle, place, len(pairs) * q)
+    both = long_form(placed, "_side", "_v", {"x_middle": F.col("x_value"), "y_middle": F.col("y_value")},
+                     [F.col(c) for c in place])
+    middles = group_medians(both, [*place, "_side"], "_v", exact, key_count=2 * len(pairs) * q)
+    out = join_small(sums, middles.groupBy(*place).agg(*[
+        F.max(F.when(F.col("_side") == m, F.col("median"))).alias(m) for m in ("x_middle", "y_middle")]), place, len(pairs) * q)
     return out.select(
         *place, "lo", "hi", _label().alias("label"), "n", "x_middle", "y_middle",
         F.count("*").over(Window.partitionBy(*keys)).alias("ranges"))

@@ -18,7 +18,7 @@ from tabscout.functions.phrases import (
     EMPTY_SUMMARY, SPARE_TAKEAWAYS, SUMMARY, TAKEAWAYS, fill,
 )
 from tabscout.operators.common import union_all
-from tabscout.operators.textjobs import near_same
+from tabscout.operators.textjobs import json_value, near_same
 
 # `rows` of a view: array<struct<label string, n bigint, value double, x double,
 # text string>>, where x is a position on a number axis and text the shown value.
@@ -108,52 +108,66 @@ def select_views(catalog: DataFrame, max_views: int = w.MAX_VIEWS) -> DataFrame:
 
 def select_by_ids(catalog: DataFrame, wanted: DataFrame,
                   max_views: int = w.MAX_VIEWS) -> DataFrame:
-    """Views by the given ids (`dataset, ids`), in that order.
+    """Views by the given ids (`dataset, ids`), in that order; ids of no passing view do not count.
 
-    Fewer than four valid ids are filled up from `select_views`; a dataset
-    without ids gets just that.
+    Fewer than four are filled up from `select_views` to eight; a dataset
+    without any gets just the pick of `select_views`. Of more rows for one
+    dataset, and of repeated ids, the first places count.
     """
     views = catalog.where("passes")
-    asked = wanted.select("dataset", F.size("ids").alias("_asked"), F.posexplode("ids").alias(
-        "_pos", "id")).groupBy("dataset", "id").agg(
-        F.min("_pos").alias("_pos"), F.max("_asked").alias("_asked"))
-    given = views.join(asked, ["dataset", "id"])
+    asked = wanted.select("dataset", F.posexplode("ids").alias("_pos", "id")).groupBy(
+        "dataset", "id").agg(F.min("_pos").alias("_pos"))
+    first = Window.partitionBy("dataset").orderBy("_pos", "id")
+    given = views.join(asked, ["dataset", "id"]).withColumn("_nth", F.row_number().over(first))
     counts = given.groupBy("dataset").agg(F.count("*").alias("_given"))
-    asks = wanted.groupBy("dataset").agg(F.max(F.size("ids")).alias("_asked"))
-    rule = asks.where("_asked > 0").join(counts, "dataset", "left").select(
-        "dataset", "_asked", F.coalesce("_given", F.lit(0)).alias("_given"))
     spare = select_views(catalog, max_views).join(
-        given.select("dataset", "id"), ["dataset", "id"], "left_anti"
-    ).join(rule, "dataset", "left")
-    goal = F.when(F.col("_asked").isNull(), F.lit(max_views)).otherwise(
-        F.least(F.lit(max_views), F.greatest(F.lit(w.FILL_VIEWS), F.col("_asked"))))
-    columns = [c for c in catalog.columns]
+        given.select("dataset", "id"), ["dataset", "id"], "left_anti").join(
+        counts, "dataset", "left").withColumn("_given", F.coalesce("_given", F.lit(0)))
+    goal = F.when(F.col("_given") == 0, max_views).otherwise(min(max_views, w.FILL_VIEWS))
     room = Window.partitionBy("dataset").orderBy("place")
-    fillers = spare.where(F.col("_given").isNull() | (F.col("_given") < w.MIN_VIEWS_BY_ID)
-                          ).withColumn("_fill", F.row_number().over(room)).where(
-        F.col("_fill") + F.coalesce("_given", F.lit(0)) <= goal)
-    both = given.select(*columns, F.col("_pos").alias("_order")).unionByName(
+    fillers = spare.where(F.col("_given") < w.MIN_VIEWS_BY_ID).withColumn(
+        "_fill", F.row_number().over(room)).where(F.col("_fill") + F.col("_given") <= goal)
+    columns = catalog.columns
+    both = given.select(*columns, F.col("_nth").alias("_order")).unionByName(
         fillers.select(*columns, (F.col("place") + 1_000_000).alias("_order")))
     return both.withColumn("place", F.row_number().over(
         Window.partitionBy("dataset").orderBy("_order"))).drop("_order")
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _last_fitting(texts: DataFrame, keys: Sequence[str], fields: dict[str, tuple[int, int]]) -> DataFrame:
+    """Per key and field the last text, by `pos` where there is one, that fits; it comes stripped.
+
+    The length of a summary counts before it is stripped, that of other fields after."""
+    turn = "pos" if "pos" in texts.columns else "_turn"
+    if turn == "_turn":
+        texts = texts.withColumn(turn, F.monotonically_increasing_id())
+    kept = []
+    for field, (low, high) in fields.items():
+        if field in texts.columns:
+            new = stripped(field)
+            kept.append(F.max_by(new, F.when(F.length(field if field == "summary" else new).between(low, high), F.col(turn))).alias(f"_{field}"))
+    return texts.groupBy(*keys).agg(F.lit(True).alias("_given"), *kept)
+
+
 def overlay_texts(views: DataFrame, texts: DataFrame) -> DataFrame:
     """Put replacement texts on the views (`dataset, id` and any of six fields).
 
-    A text counts only if its trimmed length is within the field's limit. If
-    that leaves why and takeaway near-same, the old takeaway comes back, or a
-    spare one if that one is no better.
+    A text counts only if its length without white space at its ends is within the
+    field's limit. Several rows for one id apply in turn, by `pos` if there is such a
+    column. If that leaves why and takeaway near-same, the old takeaway comes
+    back, or a spare one if that one is no better.
     """
-    texts = texts.select(
-        "dataset", "id", F.lit(True).alias("_given"),
-        *[F.trim(F.col(f)).alias(f"_{f}") for f in w.TEXT_LIMITS if f in texts.columns])
-    joined = views.join(texts, ["dataset", "id"], "left").withColumn("_old", F.col("takeaway"))
-    for field, longest in w.TEXT_LIMITS.items():
-        if f"_{field}" in texts.columns:
-            new = F.col(f"_{field}")
-            joined = joined.withColumn(field, F.when(
-                F.length(new).between(2, longest), new).otherwise(F.col(field)))
+    limits = {f: (2, longest) for f, longest in w.TEXT_LIMITS.items()}
+    new = _last_fitting(texts, ["dataset", "id"], limits)
+    joined = views.join(new, ["dataset", "id"], "left").withColumn("_old", F.col("takeaway"))
+    for field in w.TEXT_LIMITS:
+        if f"_{field}" in new.columns:
+            joined = joined.withColumn(field, F.coalesce(f"_{field}", field))
     why, old = F.col("why"), F.col("_old")
     back = F.when((F.length(old) > 0) & ~near_same(why, old), old).otherwise(spare_takeaway_text())
     repeated = F.coalesce("_given", F.lit(False)) & near_same(why, F.col("takeaway"))
@@ -181,8 +195,22 @@ def catalog_summary(selected: DataFrame, given: DataFrame | None = None) -> Data
     ).otherwise(EMPTY_SUMMARY)
     if given is None:
         return found.select("dataset", "views", own.alias("summary"))
-    low, high = w.SUMMARY_LENGTH
-    new = F.when(F.length("_new").between(low, high), F.trim("_new"))
-    given = given.select("dataset", F.col("summary").alias("_new"))
-    return found.join(given, "dataset", "left").select(
-        "dataset", "views", F.coalesce(new, own).alias("summary"))
+    new = _last_fitting(given, ["dataset"], {"summary": w.SUMMARY_LENGTH})
+    return found.join(new, "dataset", "left").select(
+        "dataset", "views", F.coalesce("_summary", own).alias("summary"))
+
+
+def reply_to_tables(replies: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The wanted ids, the replacement texts and the summaries in replies (`dataset` and a text column).
+
+    They are what `select_by_ids`, `overlay_texts` and `catalog_summary` take. A reply
+    without JSON, or a card without an id, gives no row.
+    """
+    fields = ", ".join(f"{f}: string" for f in ("id", *w.TEXT_LIMITS))
+    shape = f"selected_ids array<string>, summary string, cards array<struct<{fields}>>"
+    read = replies.select("dataset", F.from_json(F.to_json(json_value(F.col(column))), shape).alias("r")).where("r IS NOT NULL")
+    ids = read.where("r.selected_ids IS NOT NULL").select("dataset", F.col("r.selected_ids").alias("ids"))
+    texts = read.select("dataset", F.posexplode("r.cards").alias("pos", "c")).select(
+        "dataset", "pos", "c.*").where("id IS NOT NULL")
+    summaries = read.where("r.summary IS NOT NULL").select("dataset", F.col("r.summary").alias("summary"))
+    return ids, texts, summaries

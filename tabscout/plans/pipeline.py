@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabscout.operators.columns import eligible, geo_pair
 from tabscout.operators.groups import (
@@ -19,17 +20,27 @@ from tabscout.operators.ranges import (
     distribution_stats, histogram, outcome_rate_by_range, pair_correlations, relationship_by_range,
 )
 from tabscout.plans import views as v
-from tabscout.plans.catalog import build_catalog
+from tabscout.plans.catalog import build_catalog, catalog_summary, select_views
 
 
 @dataclass
 class Analysis:
-    """Profile and catalog of one table; both are DataFrames."""
+    """Profile and catalog of one table; both are small DataFrames that are already worked out."""
 
     dataset: str
     profile: DataFrame
     catalog: DataFrame
 
+    def plan(self) -> DataFrame:
+        """One row: summary, the picked views, the profile and `candidate_count`."""
+        picked = select_views(self.catalog)
+        cards = picked.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct(
+            "place", *[c for c in picked.columns if c not in ("dataset", "place", "evidence")]))).alias("cards"))
+        columns = self.profile.groupBy(F.lit(self.dataset).alias("dataset")).agg(
+            F.collect_list(F.struct("name", "role")).alias("profile"))
+        counts = self.catalog.where("passes").groupBy("dataset").agg(F.count("*").alias("candidate_count"))
+        return catalog_summary(picked).join(cards, "dataset").join(counts, "dataset").join(columns, "dataset")
+
 
 def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | None = None,
                   exact: bool = True) -> Analysis:
@@ -48,7 +59,7 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
     segments = [r.name for r in parts["segment"]]
     measures = [r.name for r in parts["measure"]]
     outcomes = {r.name: r.positive_value for r in parts["outcome"]}
-    dates = {r.name: r.ts_format for r in parts["date"][:3]}
+    dates = {r.name: r.ts_format for r in parts["date"]}
     places = geo_pair(profile).first()
     duplicates = duplicate_rows(df).first().duplicate_rows
     by_name = {r.name: r for r in rows}
@@ -74,7 +85,7 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
         if measures:
             order = added + [m for m in measures if aggs[m] == "median"]
             views.append(v.metric_segment_views(
-                metric_by_segment(df, order, segments, total, groups, aggs), dataset, cols))
+                metric_by_segment(df, order, segments, total, groups, aggs, exact=exact), dataset, cols))
         views.append(v.top_category_views(largest_groups(df, segments, groups), dataset, cols))
     if outcomes and measures:
         views.append(v.outcome_measure_views(
@@ -84,7 +95,7 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
         views.append(v.time_count_views(rows_over_time(df, dates, units), dataset, cols))
         if measures:
             views.append(v.time_metric_views(
-                metric_over_time(df, dates, measures, total, units, aggs), dataset, cols))
+                metric_over_time(df, dates, measures, total, units, aggs, exact), dataset, cols))
     if len(measures) > 1:
         linked = [p for p in pair_correlations(df, measures).collect() if p.passes]
         if linked:
@@ -99,4 +110,9 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
             caps = {r.measure: r.p99 if r.n > 100 else None for r in spread}
             views.append(v.distribution_views(
                 spark.createDataFrame(spread), histogram(df, caps), dataset, cols))
-    return Analysis(dataset, profile, build_catalog(views))
+    # A row per view: worked out once, whatever is asked of it later.
+    built = build_catalog(views)
+    catalog = spark.createDataFrame(built.collect(), built.schema)
+    if segments:
+        groups.unpersist()
+    return Analysis(dataset, spark.createDataFrame(rows, profile.schema), catalog)

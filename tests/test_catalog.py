@@ -29,41 +29,67 @@ def cards(spark, n=60, datasets=20, seed=1):
     return spark.createDataFrame(rows, CARD)
 
 
-def greedy(rows, most=12):
-    """One by one in score order, under the limits."""
-    chosen, used = [], {}
-    for r in sorted((r for r in rows if r.passes), key=lambda r: (-r.score, r.seq)):
-        if used.get(r.family, 0) >= w.FAMILY_LIMITS.get(r.family, 2) or len(chosen) >= most:
-            continue
-        used[r.family] = used.get(r.family, 0) + 1
-        chosen.append(r.id)
-    return chosen
-
-
-def test_windows_select_like_the_greedy_loop(spark):
-    catalog = cards(spark)
-    rows = catalog.collect()
-    chosen = c.select_views(catalog).orderBy("dataset", "place").collect()
-    for d in {r.dataset for r in rows}:
-        assert [r.id for r in chosen if r.dataset == d] == greedy(
-            [r for r in rows if r.dataset == d])
-
-
-def test_ids_in_order_and_filled_up(spark):
-    catalog = cards(spark, datasets=4, n=200, seed=2)
-    rows = catalog.collect()
-    good = {d: [r.id for r in rows if r.dataset == d and r.passes] for d in ("d0", "d1", "d2")}
-    asked = {"d0": [good["d0"][5], "nope", good["d0"][1], good["d0"][5]],
-             "d1": good["d1"][:6][::-1], "d2": ["nope"] * 10}
-    found = c.select_by_ids(catalog, spark.createDataFrame(
-        list(asked.items()), "dataset string, ids array<string>")).orderBy("place").collect()
-    by = {d: [r.id for r in found if r.dataset == d] for d in ("d0", "d1", "d2", "d3")}
-    fill = [i for i in greedy([r for r in rows if r.dataset == "d0"])
-            if i not in (good["d0"][5], good["d0"][1])]
-    assert by["d0"] == [good["d0"][5], good["d0"][1], *fill[:6]]
-    assert by["d1"] == asked["d1"]
-    assert by["d2"] == greedy([r for r in rows if r.dataset == "d2"])[:10]
-    assert by["d3"] == greedy([r for r in rows if r.dataset == "d3"])
+def view(dataset, seq, name, family, score, passes=True):
+    return (dataset, seq, name, "bar_table", family, score, "q?", f"Title {name}", f"why {name}", f"take {name}",
+            "x", "y", ["A", "B"], [("lead", 3, 0.5, None, "50.0%")], {}, passes)
+
+
+# Two datasets with the picks written by hand.
+HAND = [
+    view("a", 1, "o1", "overview", 100.0), view("a", 2, "o2", "overview", 99.0), view("a", 3, "t1", "time", 64.0),
+    view("a", 4, "t2", "time", 64.0), view("a", 5, "t3", "time", 61.0), view("a", 6, "t4", "time", 60.0),
+    view("a", 7, "weak", "segment", 98.0, False), view("a", 8, "s1", "segment", 70.0), view("a", 9, "x1", "new", 90.0),
+    view("a", 10, "x2", "new", 89.0), view("a", 11, "x3", "new", 88.0),
+    *[view("b", i, f"u{i}", "outcome", 80.0 - i) for i in range(1, 8)],
+    *[view("b", i, f"s{i}", "segment", 70.0) for i in range(8, 14)],
+    *[view("b", i, f"r{i}", "relationship", 75.5 + i) for i in range(14, 17)],
+    view("b", 17, "d", "distribution", 57.0), view("b", 18, "d2", "distribution", 58.0), view("b", 19, "g", "geo", 10.0)]
+PICKS = {"a": ["o1", "x1", "x2", "s1", "t1", "t2", "t3"],
+         "b": ["r16", "r15", "u1", "u2", "u3", "u4", "u5", "s8", "s9", "s10", "s11", "d2"]}
+
+
+def by_dataset(df):
+    rows = df.orderBy("place").collect()
+    return {d: [r.id for r in rows if r.dataset == d] for d in sorted({r.dataset for r in rows})}
+
+
+def test_best_views_under_the_limits(spark):
+    assert by_dataset(c.select_views(spark.createDataFrame(HAND, CARD))) == PICKS
+
+
+@pytest.mark.parametrize("asked, wanted", [
+    (["t4", "nope", "weak", "o2", "t4"], ["t4", "o2", "o1", "x1", "x2", "s1", "t1", "t2"]),
+    (["x3", "t4", "o2", "s1", "x1"], ["x3", "t4", "o2", "s1", "x1"]),
+    (["nope"] * 10, PICKS["a"]), ([], PICKS["a"]), (["weak"], PICKS["a"]),
+    (["t4", "o2"] + ["nope"] * 9, ["t4", "o2", "o1", "x1", "x2", "s1", "t1", "t2"])])
+def test_ids_in_order_and_filled_up(spark, asked, wanted):
+    found = c.select_by_ids(spark.createDataFrame(HAND, CARD), spark.createDataFrame(
+        [("a", asked)], "dataset string, ids array<string>"))
+    assert by_dataset(found) == {"a": wanted, "b": PICKS["b"]}
+
+
+def test_texts_given_twice_apply_in_turn(spark):
+    texts = spark.createDataFrame([
+        ("a", "o1", "First title\n", None, 1), ("a", "o1", "\t Second title", "x" * 300, 2), ("a", "o1", "y" * 91, " w1 ", 3),
+        ("a", "t1", "Title\u00a0", "w2", 1), ("a", "nope", "zz", None, 1)],
+        "dataset string, id string, title string, why string, pos int")
+    found = c.overlay_texts(spark.createDataFrame(HAND, CARD), texts).collect()
+    assert len(found) == len(HAND)
+    rows = {r.id: r for r in found if r.dataset == "a"}
+    assert (rows["o1"].title, rows["o1"].why) == ("Second title", "w1")
+    assert (rows["t1"].title, rows["t1"].why) == ("Title", "w2")
+
+
+def test_reply_becomes_tables(spark):
+    replies = spark.createDataFrame([
+        ("a", 'Sure: {"selected_ids": ["t4", "o2"], "summary": "' + "s" * 30 + '", "cards": [{"id": "t4", "title": "New"},'
+              ' {"id": "t4", "why": "Because it is"}, {"title": "no id"}]} bye'), ("b", "no json"), ("b", None)],
+        "dataset string, reply string")
+    ids, texts, summaries = c.reply_to_tables(replies, "reply")
+    assert [(r.dataset, r.ids) for r in ids.collect()] == [("a", ["t4", "o2"])]
+    assert [(r.id, r.title, r.why, r.pos) for r in texts.orderBy("pos").collect()] == [
+        ("t4", "New", None, 0), ("t4", None, "Because it is", 1)]
+    assert [r.summary for r in summaries.collect()] == ["s" * 30]
 
 
 def test_last_of_equal_ids_wins(spark):

@@ -50,17 +50,33 @@ def test_filters_reach_the_scan(lineitem):
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in text
 
 
-def test_large_quantiles_never_window_a_whole_key(spark, lineitem):
-    text = plan(quantiles(lineitem, ["l_returnflag"], "l_extendedprice", [0.5], in_memory_rows=0))
-    windows = [x for x in text.splitlines() if "Window [" in x and "_size" not in x
-               and "_values" not in x]
-    assert windows and all("_bucket" in x for x in windows)
+def test_quantiles_never_deal_out_raw_values(spark, lineitem):
+    text = plan(quantiles(lineitem, ["l_returnflag"], "l_extendedprice", [0.5], key_count=3))
+    exchanges = [x for x in text.splitlines() if "Exchange hashpartitioning(" in x]
+    assert exchanges and not any("_x" in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges
+                                 if "_step" not in x)
+    windows = [x for x in text.splitlines() if "Window [" in x and "_n" not in x]
+    assert all("_step" in x for x in windows)
+
+
+def test_pairs_take_one_scan(lineitem):
+    names = ["l_quantity", "l_extendedprice", "l_suppkey", "l_tax", "l_discount", "l_partkey"]
+    text = plan(r.pair_correlations(lineitem, names))
+    assert text.count("FileScan parquet") == 1 and text.count("hashpartitioning") == 1
 
 
 def test_no_python_and_no_cross_join(lineitem):
+    prices = ["l_quantity", "l_extendedprice"]
+    for df in (r.outcome_rate_by_range(lineitem, {"l_linestatus": "O"}, prices),
+               r.relationship_by_range(lineitem, [("l_quantity", "l_extendedprice")]),
+               g.metric_by_segment(lineitem, prices, ["l_returnflag"])):
+        for word in ("Python", "BroadcastNestedLoopJoin", "CartesianProduct"):
+            assert word not in plan(df)
+
+
+def test_catalog_is_worked_out_once(lineitem):
     found = analyze_table(lineitem, "lineitem", ["l_orderkey", "l_linenumber"])
-    text = plan(found.catalog)
-    for word in ("Python", "BroadcastNestedLoopJoin", "CartesianProduct"):
-        assert word not in text
-    pairs = plan(r.pair_correlations(lineitem, ["l_quantity", "l_extendedprice", "l_suppkey"]))
-    assert "Join" not in pairs
+    assert "FileScan" not in plan(found.catalog) and "FileScan" not in plan(found.plan())
+    row = found.plan().first()
+    assert row.candidate_count == found.catalog.where("passes").count() and len(row.cards) <= 12
+    assert len(row.profile) == len(lineitem.columns) and row.summary
