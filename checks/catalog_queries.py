@@ -102,7 +102,7 @@ def select_views(spark, sf_dir):
 ASKED = ("SELECT (o_orderkey // 75)::VARCHAR AS dataset, list('v' || (o_orderkey "
          "+ CASE WHEN o_orderkey // 75 % 5 < 2 THEN 1000000000000 ELSE 0 END) "
          "ORDER BY o_totalprice, o_orderkey)[1:o_orderkey // 75 % 11] AS ids FROM orders "
-         "WHERE o_orderkey // 75 % 20 <> 7 GROUP BY o_orderkey // 75")
+         "GROUP BY o_orderkey // 75")
 
 
 @query("select_by_ids", f"""
@@ -127,7 +127,7 @@ def select_by_ids(spark, sf_dir):
         F.pmod(part, F.lit(5)) < 2, 10**12).otherwise(0)).cast("string"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct(
         "o_totalprice", "o_orderkey", ident.alias("id")))), lambda s: s["id"])
-    wanted = table(spark, sf_dir, "orders").where(F.pmod(part, F.lit(20)) != 7).groupBy(part.alias("_part")).agg(
+    wanted = table(spark, sf_dir, "orders").groupBy(part.alias("_part")).agg(
         ids.alias("_ids")).select(
         F.col("_part").cast("string").alias("dataset"),
         F.slice("_ids", F.lit(1), F.pmod("_part", F.lit(11)).cast("int")).alias("ids"))
@@ -169,7 +169,7 @@ def overlay_texts(spark, sf_dir):
             k == 3, F.col("takeaway")).alias("why"),
         F.when(k == 0, F.concat(F.lit("because, of "), F.lower(priority), F.lit("!"))).when(
             k == 1, "  fine  ").when(k == 3, F.concat("takeaway", F.lit(" "))).alias("takeaway"),
-    ).where(k < 4)
+    )
     return c.overlay_texts(catalog, texts).select("dataset", "id", "title", "why", "takeaway")
 
 
@@ -220,8 +220,7 @@ def catalog_summary(spark, sf_dir):
 # --- whole pipeline ---------------------------------------------------------------------
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").join(
-        table(spark, sf_dir, "documents").drop("text"), "doc_id")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 @query("catalog_of_labelled_documents")

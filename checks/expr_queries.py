@@ -139,6 +139,34 @@ def text_to_timestamp(spark, sf_dir):
                        e.date_like(like).alias("looks_like_date"))
 
 
+# How a date is written, and what of it the text keeps: d the day, m the month.
+LOOKS = {
+    "yyyy-MM-dd'T'HH:mm:ss'+02:00'": ("yyyy-M-d'T'H:m:sXXX", "o_orderdate - INTERVAL 2 HOUR"),
+    "M/d/yyyy h:mm a": ("M/d/yyyy h:m a", "o_orderdate"),
+    "yyyy-MM-dd hh:mm:ss a": ("yyyy-M-d h:m:s a", "o_orderdate"),
+    "d MMMM yyyy": ("d MMMM yyyy", "o_orderdate"),
+    "MMM-yyyy": ("MMM-yyyy", "date_trunc('month', o_orderdate)::TIMESTAMP"),
+    "MMMM yyyy": ("MMMM yyyy", "date_trunc('month', o_orderdate)::TIMESTAMP"),
+}
+
+
+@query("text_to_timestamp_by_look", " UNION ALL ".join(
+    f"SELECT o_orderkey AS k, {i} AS look, ({ts})::TIMESTAMP AS ts FROM orders" for i, (_, ts) in enumerate(LOOKS.values())))
+def text_to_timestamp_by_look(spark, sf_dir):
+    """Each text finds its format by its look and is read with it."""
+    parts = []
+    for i, (look, (fmt, _)) in enumerate(LOOKS.items()):
+        made = table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("k"), F.lit(i).alias("look"), F.date_format("o_orderdate", look).alias("t"))
+        # May looks like its short form.
+        right = e.date_format_of(F.col("t")).isin(fmt, fmt.replace("MMMM", "MMM"))
+        parts.append(made.select("k", "look", F.when(right, e.as_timestamp(made, "t", fmt)).alias("ts")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("positive_flags", """
     SELECT l_linestatus AS value, lower(l_linestatus) = 'o' AS flag, count(*) AS n
     FROM lineitem GROUP BY ALL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded, table
@@ -14,12 +14,12 @@ from tabscout.operators import profile as prof
 from tabscout.operators import ranges as r
 from tabscout.operators.quantiles import group_medians
 
-LABELLED = "SELECT * FROM labels JOIN documents USING (doc_id)"
+LABELLED = "SELECT * FROM documents LEFT JOIN labels USING (doc_id)"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").join(
-        table(spark, sf_dir, "documents").drop("text"), "doc_id")
+    """All documents with their texts, and the labels that some have."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 def longs(df: DataFrame, *names: str) -> DataFrame:
@@ -83,12 +83,10 @@ def _outcome_segment(source: str, outcomes: dict[str, str], segments: list[str])
     WITH cells AS ({cells}),
     sizes AS (SELECT outcome, segment, value, count(*) AS n, avg(flag) AS rate FROM cells
       GROUP BY ALL),
-    placed AS (SELECT *, sum(n) OVER v AS rows_used,
-      row_number() OVER (PARTITION BY outcome, segment ORDER BY n DESC, value) AS size
-      FROM sizes WINDOW v AS (PARTITION BY outcome, segment)),
+    placed AS (SELECT *, sum(n) OVER v AS rows_used FROM sizes WINDOW v AS (PARTITION BY outcome, segment)),
     kept AS (SELECT *, count(*) OVER v AS groups, max(rate) OVER v - min(rate) OVER v AS spread,
       row_number() OVER (PARTITION BY outcome, segment ORDER BY rate DESC, n DESC, value) AS rank
-      FROM placed WHERE size <= 30 AND n >= {least}
+      FROM placed WHERE n >= {least}
       WINDOW v AS (PARTITION BY outcome, segment))
     SELECT outcome, segment, value, n, round(rate, 6) AS rate, rows_used::BIGINT AS rows_used, rank,
       groups, round(spread, 6) AS spread, round(84 + least(60 * spread, 16), 6) AS score,
@@ -295,6 +293,19 @@ def pair_correlations(spark, sf_dir):
     return rounded(found, r=6, score=6)
 
 
+SIXTEEN = [f"sin(l_orderkey * {k} + l_linenumber) * l_quantity AS m{k}" for k in range(1, 16)]
+
+
+@query("correlations_of_sixteen", " UNION ALL ".join(
+    f"SELECT 'm{i}' AS x, 'm{j}' AS y, count(*) AS n, round(corr(m{j}, m{i}), 6) AS r FROM m" for i in range(1, 17)
+    for j in range(i + 1, 17)).join((f"WITH m AS (SELECT {', '.join(SIXTEEN)}, l_quantity AS m16 FROM lineitem) ", "")))
+def correlations_of_sixteen(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    made = line.select(*[(F.sin(F.col("l_orderkey") * k + F.col("l_linenumber")) * F.col("l_quantity")).alias(f"m{k}")
+                         for k in range(1, 16)], F.col("l_quantity").alias("m16"))
+    return rounded(r.pair_correlations(made, made.columns).select("x", "y", "n", "r"), r=6)
+
+
 def _relationship(pairs: list[tuple[str, str]]) -> str:
     cells = " UNION ALL ".join(
         f"SELECT '{a}' AS x, '{b}' AS y, {a} AS v, {b} AS w FROM ({NET}) "
@@ -366,6 +377,8 @@ def distribution_of_documents(spark, sf_dir):
       round(any_value(lo) + (bin - 1) * any_value(width), 6) AS lo,
       round(any_value(lo) + (bin - 1) * any_value(width) + any_value(width), 6) AS hi,
       count(*) AS n FROM bins GROUP BY bin
+    UNION ALL SELECT 'value', 39, round((SELECT quantile_cont(value, 0.99) FROM events), 6), round(max(value), 6), count(*)
+      FROM events WHERE value > (SELECT quantile_cont(value, 0.99) FROM events)
 """)
 def histogram(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -408,14 +421,22 @@ def rows_over_days(spark, sf_dir):
     return t.rows_over_time(table(spark, sf_dir, "events"), {"ts": None})
 
 
-GAPS = ("SELECT * FROM lineitem WHERE month(l_shipdate) NOT IN (2, 3, 4, 11) "
-        "AND year(l_shipdate) <> 1998")
+# Every row stays; months are put off so that some have none.
+GAPS = ("SELECT * REPLACE (CASE WHEN year(l_shipdate) = 1998 THEN TIMESTAMP '1997-12-03' "
+        "WHEN month(l_shipdate) BETWEEN 2 AND 4 THEN make_timestamp(year(l_shipdate), 5, 2, 0, 0, 0) "
+        "WHEN month(l_shipdate) = 11 THEN make_timestamp(year(l_shipdate), 12, 2, 0, 0, 0) "
+        "ELSE l_shipdate END AS l_shipdate) FROM lineitem")
 
 
 def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = F.col("l_shipdate")
-    return table(spark, sf_dir, "lineitem").where(
-        ~F.month(ship).isin(2, 3, 4, 11) & (F.year(ship) != 1998))
+
+    def second(month: int) -> Column:
+        return F.make_date(F.year(ship), F.lit(month), F.lit(2)).cast("timestamp_ntz")
+
+    moved = F.when(F.year(ship) == 1998, F.lit("1997-12-03").cast("timestamp_ntz")).when(
+        F.month(ship).between(2, 4), second(5)).when(F.month(ship) == 11, second(12)).otherwise(ship)
+    return table(spark, sf_dir, "lineitem").withColumn("l_shipdate", moved)
 
 
 @query("rows_over_time_with_gaps", _rows_over_time(GAPS, "l_shipdate", "month"))
@@ -438,13 +459,36 @@ def _metric_over_time(source: str, column: str, aggs: dict[str, str], unit: str)
     return " UNION ALL ".join(parts)
 
 
-@query("metric_over_time", _metric_over_time(
-    GAPS, "l_shipdate",
-    {"l_quantity": "sum", "l_extendedprice": "median", "l_suppkey": "mean"}, "month"))
+PER_MONTH = {"l_quantity": "sum", "l_extendedprice": "median", "l_suppkey": "mean"}
+
+
+@query("metric_over_time", _metric_over_time("SELECT * FROM lineitem", "l_shipdate", PER_MONTH, "month"))
 def metric_over_time(spark, sf_dir):
     return rounded(t.metric_over_time(
-        with_gaps(spark, sf_dir), {"l_shipdate": None},
-        ["l_quantity", "l_extendedprice", "l_suppkey"]), metric=4)
+        table(spark, sf_dir, "lineitem"), {"l_shipdate": None}, list(PER_MONTH)), metric=4)
+
+
+@query("metric_over_time_with_gaps", _metric_over_time(GAPS, "l_shipdate", PER_MONTH, "month"))
+def metric_over_time_with_gaps(spark, sf_dir):
+    return rounded(t.metric_over_time(
+        with_gaps(spark, sf_dir), {"l_shipdate": None}, list(PER_MONTH)), metric=4)
+
+
+# Four dates and six measures: none is left out.
+MANY = ("SELECT *, l_shipdate + INTERVAL 40 DAY AS d1, l_shipdate - INTERVAL 9 DAY AS d2, "
+        "l_shipdate + INTERVAL 1 DAY AS d3, l_tax * 2 AS m1, l_quantity + l_tax AS m2, l_discount - 1 AS m3 FROM lineitem")
+MANY_SUMS = {"l_quantity": "sum", "l_discount": "mean", "l_tax": "mean", "m1": "mean", "m2": "sum", "m3": "sum"}
+
+
+@query("metrics_of_many_dates", " UNION ALL ".join(
+    f"({_metric_over_time(MANY, d, MANY_SUMS, 'month')})" for d in ("l_shipdate", "d1", "d2", "d3")))
+def metrics_of_many_dates(spark, sf_dir):
+    ship, days = F.col("l_shipdate"), {"d1": 40, "d2": -9, "d3": 1}
+    line = table(spark, sf_dir, "lineitem").withColumns({
+        **{d: ship + F.make_dt_interval(F.lit(n)) for d, n in days.items()}, "m1": F.col("l_tax") * 2,
+        "m2": F.col("l_quantity") + F.col("l_tax"), "m3": F.col("l_discount") - 1})
+    return rounded(t.metric_over_time(
+        line, dict.fromkeys(["l_shipdate", *days]), list(MANY_SUMS), aggs=MANY_SUMS), metric=4)
 
 
 @query("metric_over_days", _metric_over_time(

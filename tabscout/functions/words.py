@@ -115,6 +115,18 @@ DATE_FORMATS = (
     (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}[+-]\d{2}:\d{2}$", "yyyy-M-d'T'H:m:sXXX"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,9}[+-]\d{2}:\d{2}$", "yyyy-M-d'T'H:m:s.SSSSSSSSSXXX"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}[+-]\d{2}:\d{2}$", "yyyy-M-d H:m:sXXX"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AP]M$", "d/M/yyyy h:m a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AP]M$", "M/d/yyyy h:m a"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AP]M$", "d/M/yyyy h:m:s a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AP]M$", "M/d/yyyy h:m:s a"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2} [AP]M$", "yyyy-M-d h:m:s a"),
+    (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Z][a-z]{2}-\d{4}$", "MMM-yyyy"),
+    (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
+    (r"^[A-Z][a-z]{3,} \d{4}$", "MMMM yyyy"),
     (r"^\d{4}-\d{1,2}$", "yyyy-M"),
     (r"^(1[0-9]|20)\d{2}(0[1-9]|1[0-2])([0-2]\d|3[01])$", "yyyyMMdd"),
     (r"^(1[0-9]|20)\d{2}$", "yyyy"),

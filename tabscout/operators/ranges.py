@@ -201,36 +201,41 @@ def distribution_stats(df: DataFrame, measures: Sequence[str], rows: int | None
         ).alias("passes"))
 
 
-def histogram(df: DataFrame, caps: dict[str, float | None], bins: int = BINS) -> DataFrame:
-    """`measure, bin, lo, hi, n`: equal bins over all values up to a measure's cap."""
+def histogram(df: DataFrame, caps: dict[str, float | None], bins: int = BINS,
+              overflow: bool = True) -> DataFrame:
+    """`measure, bin, lo, hi, n`: equal bins over all values up to a measure's cap.
+
+    Values beyond the cap are counted in one more bin, from the cap to the largest
+    value, unless `overflow` is off. Empty bins have no row.
+    """
     measures = list(caps)
-    values = {}
-    for m in measures:
-        x = as_number(df, m)
-        values[m] = x if caps[m] is None else F.when(x <= float(caps[m]), x)
+    numbers = {m: as_number(df, m) for m in measures}
+    values = {m: x if caps[m] is None else F.when(x <= float(caps[m]), x) for m, x in numbers.items()}
     ends = stack_row([
-        F.struct(F.lit(m).alias("name"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        F.struct(F.lit(m).alias("name"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.max(numbers[m]).alias("top"))
         for m, x in values.items()], df).collect()
-    ends = {r.name: (r.lo, r.hi) for r in ends if r.lo is not None}
+    ends = {r.name: (r.lo, r.hi, r.top) for r in ends if r.lo is not None}
     if not ends:
         return df.sparkSession.createDataFrame(
             [], "measure string, bin int, lo double, hi double, n bigint")
 
     def place(m: str) -> Column:
-        lo, hi = ends[m]
-        if hi == lo:
-            return F.when(values[m].isNotNull(), F.lit(1))
-        spot = F.floor((values[m] - lo) / ((hi - lo) / bins)) + 1
-        return F.when(values[m].isNotNull(), F.least(F.lit(bins), spot)).cast("int")
+        lo, hi, _ = ends[m]
+        within = F.lit(1) if hi == lo else F.least(F.lit(bins), F.floor((values[m] - lo) / ((hi - lo) / bins)) + 1)
+        found = F.when(values[m].isNotNull(), within)
+        if overflow and caps[m] is not None:
+            found = found.when(numbers[m] > float(caps[m]), bins + 1)
+        return found.cast("int")
 
     counted = counts_by_value(df, {m: place(m) for m in ends})
     edges = df.sparkSession.createDataFrame(
-        [(m, lo, (hi - lo) / bins) for m, (lo, hi) in ends.items()],
-        "name string, _lo double, _width double")
+        [(m, lo, (hi - lo) / bins, caps[m], top) for m, (lo, hi, top) in ends.items()],
+        "name string, _lo double, _width double, _cap double, _top double")
+    beyond = F.col("value") > bins
     left = F.col("_lo") + (F.col("value") - 1) * F.col("_width")
     return counted.join(F.broadcast(edges), "name").select(
-        F.col("name").alias("measure"), F.col("value").alias("bin"), left.alias("lo"),
-        (left + F.col("_width")).alias("hi"), "n")
+        F.col("name").alias("measure"), F.col("value").alias("bin"), F.when(beyond, F.col("_cap")).otherwise(left).alias("lo"),
+        F.when(beyond, F.col("_top")).otherwise(left + F.col("_width")).alias("hi"), "n")
 
 
 def capped_sample(df: DataFrame, measure: str, cap: float | None, n: int = 5_000,

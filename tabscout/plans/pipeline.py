@@ -109,7 +109,7 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
         if spread:
             caps = {r.measure: r.p99 if r.n > 100 else None for r in spread}
             views.append(v.distribution_views(
-                spark.createDataFrame(spread), histogram(df, caps), dataset, cols))
+                spark.createDataFrame(spread), histogram(df, caps, overflow=False), dataset, cols))
     # A row per view: worked out once, whatever is asked of it later.
     built = build_catalog(views)
     catalog = spark.createDataFrame(built.collect(), built.schema)

@@ -94,7 +94,9 @@ def test_ranges_match_qcut(spark, q):
 def test_histogram_counts_every_value_up_to_the_cap(spark):
     values = [float(i % 97) for i in range(1000)] + [None, math.inf, math.nan]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    bins = histogram(df, {"v": 90.0}).collect()
+    assert [(r.lo, r.hi, r.n) for r in histogram(df, {"v": 90.0}).where("bin = 39").collect()] == [
+        (90.0, 96.0, sum(v > 90 for v in values[:1000]))]
+    bins = histogram(df, {"v": 90.0}, overflow=False).collect()
     assert sum(r.n for r in bins) == sum(1 for v in values[:1000] if v <= 90)
     assert min(r.bin for r in bins) == 1 and max(r.bin for r in bins) == 38
     flat = histogram(spark.createDataFrame([(2.0,)] * 5, "v double"), {"v": None}).collect()
