@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,20 +11,25 @@ from pyspark.sql import types as T
 
 from tabscout.functions import words as w
 from tabscout.functions.exprs import FLOATING, TEMPORAL, quoted, text_number, type_of
+from tabscout.operators.common import union_all
 from tabscout.operators.sampling import fixed_sample
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 
 
 def clean_names(names: Sequence[str]) -> list[str]:
-    """Stripped names; blank ones become `Column i`, repeats get `.1`, `.2`, ..."""
+    """Stripped names; blank ones become `Column i`, repeats get `.1`, `.2`, ...
+
+    Names that differ in case alone count as repeats, as Spark cannot tell them apart.
+    """
     stripped = [n.lstrip("﻿").strip() or f"Column {i + 1}" for i, n in enumerate(names)]
-    taken, out = set(stripped), []
+    taken, used, out = {n.lower() for n in stripped}, set(), []
     for name in stripped:
         unique, k = name, 0
-        while unique in out or (k and unique in taken):
+        while unique.lower() in used or (k and unique.lower() in taken):
             k += 1
             unique = f"{name}.{k}"
+        used.add(unique.lower())
         out.append(unique)
     return out
 
@@ -74,36 +80,50 @@ def infer_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def _read_csv(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataFrame:
-    lines = spark.read.text(path)
+def _csv_modes(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """The files under a path by (is UTF-8, has cells over several lines), from one look at their lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.agg(
-        F.min(F.is_valid_utf8("value")).alias("utf8"),
-        F.max(quotes % 2).alias("open_quote"),
-    ).first()
-    # A line with an odd number of quotes means that a quoted cell goes over
-    # several lines; only then must a file be read by one task.
-    options = dict(
-        multiLine=facts.open_quote == 1, quote='"', escape='"',
-        encoding=encodings[0] if facts.utf8 in (True, None) else encodings[-1],
-    )
-    head = spark.read.csv(path, header=False, inferSchema=False, **options).head(1)
+    # A line with an odd number of quotes, of which one begins a cell, opens a cell that goes
+    # on; only then must a file be read by one task. A lone quote inside a cell does not.
+    opened = (quotes % 2 == 1) & F.col("value").rlike(r'(^|,)\s*"')
+    facts = lines.groupBy("file").agg(
+        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(opened).alias("long")).orderBy("file").collect()
+    modes: dict[tuple[bool, bool], list[str]] = {}
+    for r in facts:
+        modes.setdefault((r.utf8, r.long), []).append(unquote(r.file))
+    return modes
+
+
+def _read_csv(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataFrame:
+    modes = _csv_modes(spark, path)
+
+    def options(mode: tuple[bool, bool]) -> dict:
+        utf8, long = mode
+        return dict(multiLine=long, quote='"', escape='"', encoding=encodings[0] if utf8 else encodings[-1])
+
+    first = min(modes, key=lambda m: modes[m][0], default=None)
+    head = spark.read.csv(modes[first][:1], header=False, inferSchema=False, **options(first)).head(1) if modes else []
     if not head:
         raise ValueError("the table has no rows")
     names = clean_names([
         f"Unnamed: {i}" if v is None or v == "" else v for i, v in enumerate(head[0])
     ])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    cells = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options)
+    cells = union_all([
+        spark.read.csv(files, schema=schema, header=True, enforceSchema=True, **options(mode))
+        for mode, files in modes.items()])
     return infer_types(null_tokens(cells.toDF(*names)))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+               encodings: Sequence[str] = ENCODINGS, save_to: str | None = None) -> DataFrame:
     """A table with a clean header and typed columns; an empty one is refused.
 
-    `fmt` defaults to the file ending. CSV text is read as UTF-8 (with or
-    without a byte-order mark), or as Latin-1 where the bytes are not UTF-8.
+    `fmt` defaults to the file ending. Each CSV file is read as UTF-8 (with or
+    without a byte-order mark), or as Latin-1 where its bytes are not UTF-8; all have
+    the header of the first. `save_to` is where the table is saved as Parquet and
+    read back, so that later passes need not parse text again.
     """
     fmt = fmt or ("csv" if str(path).lower().endswith(".csv") else "parquet")
     if fmt == "csv":
@@ -112,6 +132,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         df = clean_header(spark.read.format(fmt).load(path))
     if df.isEmpty():
         raise ValueError("the table has no rows")
+    if save_to is not None:
+        save_table(df, save_to)
+        df = spark.read.parquet(save_to)
     return df
 
 

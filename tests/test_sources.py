@@ -40,6 +40,22 @@ def test_plain_csv_stays_splittable(spark, tmp_path):
     assert "multiLine=true" not in df._jdf.queryExecution().toString()
 
 
+def test_each_file_has_its_own_mode(spark, tmp_path):
+    folder = tmp_path / "many files.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("Name,size,name\né,1,x\n".encode())
+    (folder / "b.csv").write_bytes("Name,size,name\nü,2,y\n".encode("latin1"))
+    (folder / "c.csv").write_bytes('Name,size,name\n5" pipe,3,z\n'.encode())
+    (folder / "d.csv").write_bytes('Name,size,name\n"two\nlines",4,z\n'.encode())
+    df = src.read_table(spark, str(folder), save_to=str(tmp_path / "t.parquet"))
+    assert df.columns == ["Name", "size", "name.1"]
+    assert [r.Name for r in df.orderBy("size").collect()] == ["é", "ü", '5" pipe', "two\nlines"]
+    assert "csv" not in df._jdf.queryExecution().executedPlan().toString().lower().replace("many files.csv", "")
+    modes = src._csv_modes(spark, str(folder))
+    assert {k: [f[-5:] for f in v] for k, v in modes.items()} == {
+        (True, False): ["a.csv", "c.csv"], (False, False): ["b.csv"], (True, True): ["d.csv"]}
+
+
 def test_empty_tables_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         src.read_table(spark, write(tmp_path, "a,b\n"))
