@@ -346,7 +346,7 @@ def _date_share(names: list[str], source: str) -> str:
     like = f"regexp_matches($, '{w.DATE_PATTERN}')"
     good = ("coalesce(try_strptime($, '%Y-%m-%d'), try_strptime($, '%Y/%m/%d'))")
     return _each(
-        names, f"least(300, count($)) AS seen, CASE WHEN 1.0 * count(*) FILTER ({like}) / count($) "
+        names, f"count($) AS seen, CASE WHEN 1.0 * count(*) FILTER ({like}) / count($) "
         f">= 0.55 THEN 1.0 * count(*) FILTER ({like} AND {good} IS NOT NULL) / "
         f"count(*) FILTER ({like}) ELSE 0 END::DOUBLE AS date_share", f"({source})")
 
@@ -361,6 +361,4 @@ def date_share(spark, sf_dir):
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("iso"),
         F.when(F.col("l_linenumber") > 4, F.date_format("l_shipdate", "yyyy/MM/dd")).otherwise(
             "soon").alias("plain"))
-    n = made.count()
-    first = prof.first_values(made, made.columns, 300, dict.fromkeys(made.columns, n))
-    return prof.date_share(first).select("name", "seen", "date_share")
+    return prof.date_share(made, made.columns).select("name", "seen", "date_share")

@@ -30,7 +30,6 @@ from tabscout.operators.sampling import HASH_STEPS, hash_share, lowest_hash_rows
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 QUANTILE_NAMES = ("p05", "p25", "median", "p75", "p95", "p99")
 TOP_VALUES = 15
-DATE_SAMPLE = 300
 SHOWN_VALUES = 5
 # Columns with at most so many distinct values are listed by value.
 LISTED_VALUES = 100
@@ -412,35 +411,48 @@ def first_values(df: DataFrame, columns: Sequence[str], n: int, non_null: dict[s
         _first_values(df, short, n, non_null, order, cut=False))
 
 
-def date_share(first: DataFrame) -> DataFrame:
-    """`name, seen, ts_format, date_share, shown` from the first values of each column.
+def dated_names(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """The columns whose names have a date word."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    return {r.name for r in names.where(name_has("name", w.DATE_WORDS)).collect()}
 
-    One format per column, that of its first value. A name with a date word has
-    all values read; another one only those that look like a date, and at least
-    55 % (and five) of them must.
+
+def date_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`name, seen, ts_format, date_share` over all non-null values of each column.
+
+    One format per column: the one that most values look like, the first of the list
+    on a tie. A name with a date word has all values read; another one only those that
+    look like a date, and at least 55 % (and five) of them must. Two scans: looks are
+    counted before the small exchange, then reading succeeds or fails.
     """
-    dated_name = name_has("name", w.DATE_WORDS)
-    looks = F.col("_dated") | date_like(F.col("value"))
-    per_name = Window.partitionBy("name")
-    read = (
-        first.withColumn("_dated", dated_name).withColumn("_looks", looks)
-        .withColumn("_head", F.min_by("value", F.when(F.col("_looks"), F.col("rn"))).over(per_name))
-        .withColumn("ts_format", date_format_of(F.col("_head")))
-        .withColumn("_good", F.when(F.col("_looks"), F.try_to_timestamp(
-            F.col("value"), F.col("ts_format")).isNotNull().cast("double")))
-    )
-    found = read.groupBy("name").agg(
-        F.count("*").alias("seen"), F.first("ts_format").alias("ts_format"),
-        F.max("_dated").alias("_dated"), F.count_if("_looks").alias("_like"),
-        F.avg("_good").alias("_good"),
-        F.array_sort(F.collect_list(
-            F.when(F.col("rn") <= SHOWN_VALUES, F.struct("rn", "value")))).alias("_shown"))
-    enough = F.col("_dated") | (
-        F.col("_like") >= F.greatest(F.lit(5.0), F.col("seen") * 0.55))
-    share = F.when(enough & F.col("ts_format").isNotNull(), F.col("_good"))
-    return found.select(
-        "name", "seen", "ts_format", F.coalesce(share, F.lit(0.0)).alias("date_share"),
-        F.transform("_shown", lambda s: s["value"]).alias("shown"))
+    spark, named = df.sparkSession, dated_names(df, columns)
+    if not columns:
+        return spark.createDataFrame([], "name string, seen bigint, ts_format string, date_share double")
+    texts = {c: group_text(df, c) for c in columns}
+
+    def look(c: str) -> Column:
+        fmt = F.coalesce(date_format_of(texts[c]), F.lit(""))
+        return fmt if c in named else F.when(date_like(texts[c]), fmt)
+
+    looks = counts_by_value(df, {c: look(c) for c in columns}).collect()
+    order = {fmt: i for i, (_, fmt) in reversed(list(enumerate(w.DATE_FORMATS)))}
+    best: dict[str, tuple] = {}
+    like = dict.fromkeys(columns, 0)
+    for r in looks:
+        like[r.name] += r.n
+        if r.value:
+            best[r.name] = max(best.get(r.name, (0, 0, "")), (r.n, -order[r.value], r.value))
+
+    def one(c: str) -> Column:
+        fmt = best[c][2] if c in best else None
+        seen = F.count(texts[c])
+        good = F.count(as_timestamp(df, c, fmt) if c in named else F.when(date_like(texts[c]), as_timestamp(df, c, fmt)))
+        enough = F.lit(True) if c in named else F.lit(like[c]) >= F.greatest(F.lit(5.0), seen * 0.55)
+        share = F.when(enough, F.try_divide(good, F.lit(like[c])))
+        return F.struct(F.lit(c).alias("name"), seen.alias("seen"), F.lit(fmt).cast("string").alias("ts_format"),
+                        F.coalesce(share, F.lit(0.0)).alias("date_share"))
+
+    return stack_row([one(c) for c in columns], df)
 
 
 # --- roles -------------------------------------------------------------------
@@ -558,32 +570,28 @@ def profile_columns(df: DataFrame, dataset: str = "table", order: Sequence[str]
             unique[r.name] = r.unique
             tops[r.name].append((r.rank, r.value, r.rows, r.share))
 
-    shares = {}
+    # Typed dates need no reading; a number can be a date only by its name.
     non_null = {c: stats[c]["non_null"] for c in scalars if stats[c]["non_null"] > 0}
-
-    def sampled(columns: Sequence[str], cut: bool) -> list:
-        return date_share(
-            _first_values(df, columns, DATE_SAMPLE, non_null, order, cut)).collect()
-
-    for r in sampled(list(non_null), cut=True) if non_null else []:
-        shares[r.name] = r
-    short = [c for c in non_null
-             if c not in shares or shares[c].seen < min(DATE_SAMPLE, non_null[c])]
-    for r in sampled(short, cut=False) if short else []:
-        shares[r.name] = r
+    named = dated_names(df, list(non_null))
+    read = [c for c in non_null if not _is_temporal(type_of(df, c)) and not isinstance(type_of(df, c), T.BooleanType)
+            and (c in named or isinstance(type_of(df, c), T.StringType))]
+    shares = {r.name: r for some in chunks(read, JOB_CHUNK) for r in date_share(df, some).collect()}
+    shown: dict[str, list[str]] = {c: [] for c in scalars}
+    if non_null:
+        for r in first_values(df, list(non_null), SHOWN_VALUES, non_null, order).orderBy("name", "rn").collect():
+            shown[r.name].append(r.value)
 
     def facts(c: str, sequences: dict[str, bool]) -> tuple:
         s, dtype = stats[c], type_of(df, c)
         cells = s["non_null"]
         dated = shares.get(c)
         # Flags and typed dates are never read as dates from their text.
-        share = 1.0 if _is_temporal(dtype) and cells else (
-            dated.date_share if dated and not isinstance(dtype, T.BooleanType) else 0.0)
+        share = 1.0 if _is_temporal(dtype) and cells else (dated.date_share if dated else 0.0)
         return (
             s["pos"], c, s["dtype"], not is_scalar(dtype), rows, cells, unique[c],
             (rows - cells) / max(rows, 1), unique[c] / max(rows, 1), s["n_num"] / max(cells, 1),
             float(share), dated.ts_format if dated else None, *_two_values(tops[c]),
-            s["mean_length"], sequences.get(c, False), dated.shown if dated else [],
+            s["mean_length"], sequences.get(c, False), shown.get(c, []),
             (s["ts_min"], s["ts_max"]) if s["ts_min"] else None,
         )
 

@@ -98,16 +98,19 @@ def test_names_and_dates(spark):
 def test_one_format_per_column(spark, first, share):
     values = [(first, i) for i in range(100)]
     df = spark.createDataFrame(values, "d string, i int")
-    found = prof.date_share(prof.first_values(df, ["d"], 300, {"d": 100})).first()
+    found = prof.date_share(df, ["d"]).first()
     assert found.date_share == share
 
 
-def test_mixed_dates_follow_the_first_value(spark):
-    df = spark.createDataFrame(
-        [("name", i, "2024-01-05" if i < 3 else "25/12/2024" if i < 10 else "junk 1/1/20")
-         for i in range(1, 20)], "name string, rn int, value string")
-    found = prof.date_share(df.withColumn("name", F.lit("when"))).first()
-    assert found.ts_format == "yyyy-M-d" and found.date_share == pytest.approx(2 / 19)
+def test_mixed_dates_follow_the_commonest_look(spark):
+    values = ["2024-01-05"] * 3 + ["25/12/2024"] * 7 + ["junk 1/1/20"] * 9 + [None]
+    df = spark.createDataFrame([(v, v, 7, 2000 + i) for i, v in enumerate(values)],
+                               "when string, other string, n int, year int")
+    found = {r.name: r for r in prof.date_share(df, df.columns).collect()}
+    assert found["when"].ts_format == "d/M/yyyy" and found["when"].date_share == pytest.approx(7 / 19)
+    assert found["other"].ts_format == "d/M/yyyy" and found["other"].date_share == pytest.approx(7 / 19)
+    assert found["other"].seen == 19 and found["n"].date_share == 0
+    assert found["year"].ts_format == "yyyy" and found["year"].date_share == 1
 
 
 def test_distinct_thresholds(spark):
