@@ -214,9 +214,12 @@ def preview(spark, sf_dir):
     return src.preview(table(spark, sf_dir, "customer"), 25, ["c_custkey"])
 
 
-@query("fixed_sample")
+@query("fixed_sample", """
+    SELECT * FROM lineitem ORDER BY substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 15),
+      l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice LIMIT 500
+""")
 def fixed_sample(spark, sf_dir):
-    return sampling.fixed_sample(table(spark, sf_dir, "lineitem"), 500)
+    return sampling.fixed_sample(table(spark, sf_dir, "lineitem"), 500, key=["l_orderkey", "l_linenumber"])
 
 
 @query("clean_header", """

@@ -334,7 +334,12 @@ def table_profile(spark, sf_dir):
         prof.duplicate_rows(labels).first().duplicate_rows)
 
 
-@query("first_values")
+DOCUMENT_HASH = "substr(md5('0|' || doc_id || '|' || text || '|' || lang || '|' || source || '|' || n_chars), 1, 15)"
+
+
+@query("first_values", " UNION ALL ".join(f"""
+    SELECT * FROM (SELECT '{c}' AS name, row_number() OVER (ORDER BY {DOCUMENT_HASH}, {c}::VARCHAR)::INT AS rn,
+      {c}::VARCHAR AS value FROM documents) WHERE rn <= 5""" for c in ("doc_id", "text", "lang", "source", "n_chars")))
 def first_values(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     n = documents.count()

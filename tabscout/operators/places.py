@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscout.functions.exprs import as_number
-from tabscout.operators.sampling import fixed_sample, row_hash
+from tabscout.operators.sampling import fixed_sample, row_key
 
 MAP_POINTS = 5_000
 MIN_POINTS = 10
@@ -22,7 +22,7 @@ def geo_points(df: DataFrame, lat: str, lon: str, n: int = MAP_POINTS, seed: int
     Rows are told apart by `key`; without one, by all their columns.
     """
     points = df.select(as_number(df, lat).alias("lat"), as_number(df, lon).alias("lon"),
-                       row_hash(df, seed, key).alias("_row"))
+                       row_key(df, key).alias("_row"))
     points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     valid = points.count()
     return fixed_sample(points, n, seed, ["_row"], valid).select(

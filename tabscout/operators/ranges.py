@@ -16,7 +16,7 @@ from tabscout.operators.common import (
 from tabscout.operators.groups import outcome_flag
 from tabscout.operators.profile import column_quantiles
 from tabscout.operators.quantiles import group_medians, quantiles
-from tabscout.operators.sampling import fixed_sample, row_hash
+from tabscout.operators.sampling import fixed_sample, row_key
 
 OUTCOME_RANGES = 5
 PAIR_RANGES = 6
@@ -244,6 +244,6 @@ def capped_sample(df: DataFrame, measure: str, cap: float | None, n: int = 5_000
 
     Rows are told apart by `key`; without one, by all their columns.
     """
-    kept = df.select(as_number(df, measure).alias("value"), row_hash(df, seed, key).alias("_row"))
+    kept = df.select(as_number(df, measure).alias("value"), row_key(df, key).alias("_row"))
     kept = kept.where(F.col("value").isNotNull() if cap is None else F.col("value") <= float(cap))
     return fixed_sample(kept, n, seed, ["_row"]).select("value")

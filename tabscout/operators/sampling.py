@@ -15,15 +15,22 @@ OVERSAMPLE = 4
 HASH_STEPS = 1 << 32
 
 
+def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """MD5 of the texts of the named columns (by default of all plain ones), which tells rows apart."""
+    columns = columns or [c for c in df.columns if is_scalar(type_of(df, c))]
+    return F.md5(F.concat_ws("|", *[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in columns]))
+
+
 def row_hash(df: DataFrame, seed: int = 0, columns: Sequence[str] | None = None) -> Column:
-    """Hash of the named columns (by default of all plain ones) and a seed."""
+    """The first 60 bits of the MD5 of seed and named columns, as a number; any engine can work it out."""
     columns = columns or [c for c in df.columns if is_scalar(type_of(df, c))]
-    return F.xxhash64(F.lit(seed), *[quoted(c) for c in columns])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_share(h: Column) -> Column:
     """The hash as a number in [0, 2**32), even over its range."""
-    return F.shiftrightunsigned(h, 32)
+    return F.shiftright(h, 28)
 
 
 def lowest_hash_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str], h: str,
