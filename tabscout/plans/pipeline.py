@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.operators.columns import eligible, geo_pair
+from tabscout.operators.columns import column_digest, eligible, geo_pair
 from tabscout.operators.groups import (
     group_pass, largest_groups, measure_aggs, metric_by_segment, outcome_rate_by_segment,
 )
@@ -20,7 +20,8 @@ from tabscout.operators.ranges import (
     distribution_stats, histogram, outcome_rate_by_range, pair_correlations, relationship_by_range,
 )
 from tabscout.plans import views as v
-from tabscout.plans.catalog import build_catalog, catalog_summary, select_views
+from tabscout.plans.catalog import build_catalog, catalog_digest, catalog_summary, select_views
+from tabscout.sources.tables import preview, to_json_rows
 
 
 @dataclass
@@ -116,3 +117,21 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
     if segments:
         groups.unpersist()
     return Analysis(dataset, spark.createDataFrame(rows, profile.schema), catalog)
+
+
+def dataset_context(df: DataFrame, found: Analysis, sample: int = 2, key: Sequence[str] | None = None) -> DataFrame:
+    """One row that tells a reader of the catalog what it is about.
+
+    File name, rows, columns, `sample` rows as JSON (the first by `key`, else by hash), the
+    digest of the columns and that of the catalog.
+    """
+    name = F.lit(found.dataset).alias("dataset")
+    rows = to_json_rows(preview(df, sample, key)).groupBy(name).agg(F.collect_list("json").alias("sample_rows"))
+    columns = column_digest(found.profile)
+    digest = columns.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(
+        "pos", *[c for c in columns.columns if c not in ("pos", "dataset")]))).alias("column_digest"))
+    views = catalog_digest(found.catalog).drop("evidence")
+    shown = views.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(
+        "rank", *[c for c in views.columns if c not in ("rank", "dataset")]))).alias("catalog_digest"))
+    size = found.profile.groupBy(name).agg(F.max("rows").alias("rows"), F.count("*").alias("columns"))
+    return size.join(rows, "dataset", "left").join(digest, "dataset", "left").join(shown, "dataset", "left")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tabscout.functions import words as w
 from tabscout.operators.textjobs import json_from_text, near_same_text
 from tabscout.plans import catalog as c
-from tabscout.plans.pipeline import analyze_table
+from tabscout.plans.pipeline import analyze_table, dataset_context
 
 CARD = ("dataset string, seq int, id string, kind string, family string, score double, "
         "question string, title string, why string, takeaway string, x_label string, "
@@ -184,6 +185,16 @@ def test_whole_pipeline(spark, shop):
     assert {r.id for r in chosen} <= set(rows) and len(chosen) <= 12
 
 
+def test_context_of_a_dataset(spark, shop):
+    found = analyze_table(shop, "shop")
+    row = dataset_context(shop, found, key=["order_date", "kind"]).first()
+    assert (row.dataset, row.rows, row.columns, len(row.sample_rows)) == ("shop", 607, 8, 2)
+    assert json.loads(row.sample_rows[0])["order_date"] == "2023-01-01"
+    assert [c.name for c in row.column_digest][:2] == ["order_date", "kind"]
+    ranks = [v.rank for v in row.catalog_digest]
+    assert ranks == list(range(1, len(ranks) + 1)) and row.catalog_digest[0].id == "snapshot"
+
+
 def test_catalog_does_not_depend_on_partitioning(spark, shop):
     def key(df):
         return sorted((r.id, r.score, r.title, r.takeaway, str(r.rows)) for r in
