@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabscout.operators.common import BROADCAST_ROWS
 
 # Equal steps that a bucket with a wanted rank is split into.
 SPLITS = 4096
+# Rows of a bucket that one task may put in order.
+SORT_ROWS = 500_000
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -21,8 +24,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     `key_count` is a known bound on the number of keys. Only counts are shuffled:
     values are counted by magnitude, the buckets that hold the wanted ranks are
     split into equal steps and counted again, and only the values in the steps that
-    hold the ranks, with their number of copies, are put in order. `exact=False`
-    takes the sketch of `approx_percentile` instead.
+    hold the ranks, with their number of copies, are put in order. With a known number of
+    keys the buckets are looked at on the driver: only those of more than SORT_ROWS rows are
+    split, as often as it takes. `exact=False` takes the sketch of `approx_percentile` instead.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
@@ -40,6 +44,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     coarse = _holding(sizes.select(
         *groups, "_bucket", "_n", "_lo", "_hi", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
         F.sum("_n").over(Window.partitionBy(*groups)).alias("_total")), probs)
+    if few:
+        found = _pick(_in_order(rows, coarse, groups, probs), groups, probs)
+        return found.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "n", "q")
     step = F.coalesce(F.floor(F.try_divide((x - F.col("_lo")) * SPLITS, F.col("_hi") - F.col("_lo"))), F.lit(0))
     split = _join(rows, coarse, [*groups, "_bucket"], few).withColumn("_step", step).drop("_lo", "_hi", "_n")
     upto = Window.partitionBy(*groups, "_bucket").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
@@ -54,6 +61,35 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return found.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "n", "q")
 
 
+def _in_order(rows: DataFrame, coarse: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
+    """The values of the parts that hold wanted ranks, with their first rank and copies.
+
+    A part is an interval of one bucket; there are at most two for each key and quantile."""
+    spark, place = rows.sparkSession, [*groups, "_bucket"]
+    schema = coarse.select(*place, "_lo", "_hi", "_n", "_start", "_total").schema
+    x = F.col("_x").cast("double")
+    parts = [tuple(r[c] for c in schema.names) for r in coarse.collect()]
+
+    def within(some: list[tuple]) -> DataFrame:
+        numbered = spark.createDataFrame([(i, *p) for i, p in enumerate(some)], T.StructType(
+            [T.StructField("_part", T.IntegerType()), *schema.fields])).drop("_n")
+        return _join(rows, numbered, place, True).where(x.between(F.col("_lo"), F.col("_hi")))
+
+    lo, hi, n, start, total = range(len(place), len(schema.names))
+    while large := [p for p in parts if p[n] > SORT_ROWS and p[lo] < p[hi]]:
+        step = F.floor((x - F.col("_lo")) * SPLITS / (F.col("_hi") - F.col("_lo")))
+        split = within(large).groupBy("_part", step.alias("_step")).agg(
+            F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.first("_start").alias("_start"),
+            F.first("_total").alias("_total"))
+        upto = Window.partitionBy("_part").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+        held = _holding(split.withColumn("_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n")), probs).collect()
+        parts = [p for p in parts if p not in large] + [
+            (*large[r["_part"]][:lo], r["_lo"], r["_hi"], r["_n"], r["_start"], r["_total"]) for r in held]
+    counted = within(parts).groupBy(*groups, "_part", "_start", "_total", "_x").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy("_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_first", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
+
+
 def _magnitude(x: Column) -> Column:
     """A number that grows with the value, in eighths of its binary exponent."""
     size = F.floor(8 * F.log2(F.abs(x))) + 8 * 1080

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabscout.operators import quantiles as module
 from tabscout.operators.quantiles import group_medians, quantiles
 from tabscout.operators.ranges import histogram, quantile_ranges
 
@@ -48,6 +49,16 @@ def test_close_and_odd_values(spark):
         np.testing.assert_allclose(found[k].q, wanted, rtol=1e-12)
 
 
+def test_large_buckets_are_split_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(module, "SORT_ROWS", 20)
+    rng = random.Random(9)
+    values = [1.7e9 + rng.random() * 10 ** rng.uniform(-6, 0) for _ in range(3000)] + [1.7e9] * 500 + [-5.0] * 40
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, v) for v in values[:77]], "k string, v double")
+    found = {r.k: r for r in quantiles(df, ["k"], "v", PROBS, key_count=2).collect()}
+    np.testing.assert_allclose(found["a"].q, np.quantile(values, PROBS), rtol=1e-15)
+    np.testing.assert_allclose(found[None].q, np.quantile(values[:77], PROBS), rtol=1e-15)
+
+
 def test_without_keys(spark):
     _, df = skewed(spark)
     values = [r.v for r in df.where("v IS NOT NULL").collect()]
