@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscout.llm.textbytes import has_bit
+
 #: Bytes of text that one numpy step works on; a longer text is still taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bits of a filter of hashes: half a MB on the driver and the executors, whatever it filters.
+FILTER_BITS = 1 << 22
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -63,27 +68,54 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
+
+
+def filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A bit for each of the column `hash`; combined on the executors, of fixed size."""
+    place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in rows:
+        out[r["at"]] = np.uint64(r["bits"] % (1 << 64))
+    return out
+
+
+def passes_filter(hashes: DataFrame, key: Column) -> Column:
+    """Whether a key may be among the column `hash`: true for all that are, and for few others while those are few."""
+    bits = hashes.sparkSession.sparkContext.broadcast(filter_bits(hashes))
+
+    def passes(keys: pa.Array) -> pa.Array:
+        return pa.array(has_bit(bits.value, keys.to_numpy().view(np.uint64)))
+
+    return F.arrow_udf(passes, "boolean")(key)
 
 
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """docs less the rows whose keys are in gone; of rows whose keys are in repeated one stays.
 
-    keys: expressions over docs, by their column names in gone and repeated; null equals null."""
+    keys: expressions over docs, by their column names in gone and repeated, the cheapest
+    first; null equals null. A filter of fixed size on the first key lets most rows that stay
+    pass where they are read; only the others are joined, and their texts shuffled."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
+    names = list(keys)
 
     def on(table: DataFrame) -> tuple[DataFrame, Column]:
-        other = table.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+        other = table.select(*[F.col(k).alias(f"_other_{k}") for k in names])
         same = F.lit(True)
         for k, e in keys.items():
             same = same & e.eqNullSafe(F.col(f"_other_{k}"))
         return other, same
 
     some = not repeated.isEmpty()
-    names = list(keys)
-    out, same = on(gone.select(*names).unionAll(repeated.select(*names)).distinct() if some else gone)
-    left = docs.join(out, same, "left_anti")
+    either = landed(gone.select(*names).unionAll(repeated.select(*names)).distinct())
+    touched = passes_filter(either.select(F.xxhash64(names[0]).alias("hash")), F.xxhash64(keys[names[0]]))
+    near = docs.where(touched)
+    out, same = on(either)
+    left = docs.where(~touched).unionByName(near.join(out, same, "left_anti"))
     if not some:
         return left
     twice, same = on(repeated)
-    once = docs.join(twice, same).dropDuplicates([f"_other_{k}" for k in names])
+    once = near.join(twice, same).dropDuplicates([f"_other_{k}" for k in names])
     return left.unionByName(once.select(*cols))

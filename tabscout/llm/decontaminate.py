@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscout.llm.common import chunks, landed, text_of, without
+from tabscout.llm.common import chunks, filter_bits, landed, text_of, without
 from tabscout.llm.textbytes import (alnum_bytes, byte_table, has_bit, prefix_hash, shingle_hash, span_hash, utf8,
                                     word_spans)
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
-#: Bits of the filter of shingles: at most 1 MB on the driver whatever the benchmark's size.
-FILTER_BITS = 1 << 22
 CANDIDATES = "array<struct<shingle:long,pos:int,before:int,words:array<string>>>"
 
 
@@ -66,17 +64,6 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int, width:
     return rows.mapInArrow(run, f"id {kind}, words array<string>, shingles array<long>")
 
 
-def filter_bits(shingles: DataFrame) -> np.ndarray:
-    """A bit for each hash in the column `shingle`; combined on the executors, of fixed size."""
-    place = F.col("shingle").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = shingles.groupBy(F.shiftright(place, 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(shingle & 63 AS INT))")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in rows:
-        out[r["at"]] = np.uint64(r["bits"] % (1 << 64))
-    return out
-
-
 def shingle_counts(docs: DataFrame, text_col: str, bits: np.ndarray, widths: list[int]) -> DataFrame:
     """(shingle, n): how often all documents hold each shingle that the filter lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -143,10 +130,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tables give no rows, or rows without hits."""
     windows = landed(windows_of(items, item_id, item_text, window, width))
     sizes = [r[0] for r in windows.select(F.least(F.size("words"), F.lit(width))).distinct().collect()]
-    bits = filter_bits(windows.select(F.explode("shingles").alias("shingle")))
+    bits = filter_bits(windows.select(F.explode("shingles").alias("hash")))
     counts = landed(shingle_counts(docs, text_col, bits, sizes))
     rarest = landed(rarest_shingles(windows, counts))
-    wanted = filter_bits(rarest.select("shingle"))
+    wanted = filter_bits(rarest.select(F.col("shingle").alias("hash")))
     rows = landed(candidates(docs, id_col, text_col, wanted, sizes, window).withColumn(
         "tag", F.monotonically_increasing_id()))
     places = rows.where(F.size("found") > 0).select("tag", "n_words", F.explode("found").alias("c"))

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.llm.common import chunks, landed, text_of
-from tabscout.llm.decontaminate import filter_bits
-from tabscout.llm.textbytes import has_bit, mixed, powers, prefix_hash, utf8
+from tabscout.llm.common import chunks, landed, passes_filter, text_of
+from tabscout.llm.textbytes import mixed, powers, prefix_hash, utf8
 
 LENGTH = 400
 #: Bytes of the pieces whose least hash names a window.
@@ -298,12 +297,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     wanted = landed(each.join(known, "key").groupBy("digest", "copies", "id").agg(F.collect_set("key").alias("wanted")))
     row_key = F.xxhash64("digest", F.col("id").cast("string"))
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(row_key.alias("shingle"))))
-
-    def passes(keys: pa.Array) -> pa.Array:
-        return pa.array(has_bit(bits.value, keys.to_numpy().view(np.uint64)))
-
-    again = rows.where(F.arrow_udf(passes, "boolean")(row_key))
+    again = rows.where(passes_filter(wanted.select(row_key.alias("hash")), row_key))
     read = again.join(wanted.select(F.col("digest").alias("d"), F.col("id").alias("i"), "copies", "wanted"),
                       (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")))
     read = read.select("digest", "copies", "text", "wanted")
@@ -353,11 +347,7 @@ def kept_bytes(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
 
     spans is the result of repeated_spans for docs."""
     parts = landed(spans.where(~F.col("whole") & (F.size("spans") > 0)).select("id", "digest", "spans").dropDuplicates(["digest"]))
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(parts.select(F.xxhash64("digest").alias("shingle"))))
-
-    def passes(keys: pa.Array) -> pa.Array:
-        return pa.array(has_bit(bits.value, keys.to_numpy().view(np.uint64)))
-
+    passes = passes_filter(parts.select(F.xxhash64("digest").alias("hash")), F.xxhash64("digest"))
     def cut(texts: pa.Array, columns: pa.Array) -> pa.Array:
         out = []
         for text, spans in zip(texts, columns.to_pylist()):
@@ -369,7 +359,6 @@ def kept_bytes(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
         return pa.array(out, pa.binary())
 
     rows = docs.select(text_of(f"`{text_col}`").alias("text"))
-    rows = rows.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text").where(
-        F.arrow_udf(passes, "boolean")(F.xxhash64("digest")))
+    rows = rows.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text").where(passes)
     return rows.join(parts.select("digest", "spans"), "digest").select(
         "digest", F.arrow_udf(cut, "binary")("text", "spans").alias("kept")).dropDuplicates(["digest"])

@@ -15,13 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.llm.common import text_of
-
 ALLOW, BLOCK = "allow", "block"
 #: Keys sampled for each partition to place the bounds between partitions; they decide balance only.
 SAMPLED_KEYS = 40
 BEYOND = "\U0010ffff"
-EVENT = "part int, key string, kind int, id {id}, host string, path string, rule string, verdict string"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabscout.llm import decontaminate as dc
-from tabscout.llm import exact_dedup, quality, queries, simhash_dedup, toxicity
+from tabscout.llm import quality, queries, simhash_dedup, toxicity
 
 SF = "/root/testdata/sf0.01"
 

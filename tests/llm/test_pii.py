@@ -6,8 +6,6 @@ import datetime as dt
 import hashlib
 import random
 
-from pyspark.sql import functions as F
-
 from tabscout.llm import pii
 
 KEY = "k"
