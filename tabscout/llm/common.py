@@ -19,15 +19,18 @@ CHUNK_BYTES = 1 << 20
 #: Bits of a filter of hashes: half a MB on the driver and the executors, whatever it filters.
 FILTER_BITS = 1 << 22
 
+#: Folders of local sessions that set none, by application.
+_temporary: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _temporary.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="llm-")
+        _temporary[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
