@@ -18,7 +18,7 @@ SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 #: What each kind looks like, tried in this order at each place of a text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": SECRET_NAME + r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"',;]{6,200}",
+    "secret": SECRET_NAME + r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"',;]{6,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?!\d)",
@@ -188,7 +188,7 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    """The value becomes a keyed digest of up to 64 signs, no longer than it was; its name and quotes stay."""
+    """The value, of any length, becomes a keyed digest of up to 64 signs, no longer than it was; its name and quotes stay."""
     name = F.regexp_extract(m, "^" + SECRET_NAME + r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
     return F.concat(name, F.substring(keyed(key, "secret", value), F.lit(1), F.length(value)))

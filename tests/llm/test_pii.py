@@ -83,3 +83,13 @@ def test_equal_values_stay_linked_in_odd_tables(spark):
     assert pii.pseudonymized(df, KEY).columns == ["doc_id", "text", "_old", "pii_found"]
     plan = pii.pseudonymized(df, KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_secrets_go_as_a_whole(spark):
+    rng = random.Random(8)
+    sign = lambda n: "".join(rng.choice("abcXYZ0189_-.") for _ in range(n))
+    head = sign(200)
+    values = [head, head + "a", head + "b", sign(900), head + sign(40_000)]
+    got = replaced(spark, [f'x token="{v}", rest; api_key: {v}' for v in values])
+    new = [hashlib.sha256(f"{KEY}|secret|{v}".encode()).hexdigest() for v in values]
+    assert got == [(f'x token="{n}", rest; api_key: {n}', 2) for n in new] and len(set(new)) == len(values)
