@@ -76,18 +76,37 @@ def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
     return let(pair, lambda p: F.concat(padded(p["l"], h), padded(p["r"], n - h)))
 
 
-def filled(text: Column, digits: Column) -> Column:
-    """text with its digits replaced in order; the rest of it stays."""
+def filled(text: Column, signs: Column, kind: str = "[0-9]") -> Column:
+    """text with its digits, or signs of another kind, replaced in order; the rest of it stays."""
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
     def put(at: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
-        return F.struct((at["i"] + digit.cast("int")).alias("i"), F.concat(
-            at["out"], F.when(digit, F.substring(digits, at["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+        found = c.rlike(f"^{kind}$")
+        return F.struct((at["i"] + found.cast("int")).alias("i"), F.concat(
+            at["out"], F.when(found, F.substring(signs, at["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
     return F.aggregate(F.split(text, ""), start, put, lambda at: at["out"])
 
 
+def permuted_letters(letters: Column, key: str, tweak: str) -> Column:
+    """Of 2 to 32 letters A-Z, as many others: a Feistel network that moves each letter of a half on by a digest of the other."""
+    n = F.length(letters)
+    h = F.floor(n / 2).cast("int")
+
+    def moved(x: Column, by: Column, i: Column) -> Column:
+        def each(digest: Column) -> Column:
+            step = lambda j: F.conv(F.substring(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            return F.array_join(F.transform(F.split(x, ""), lambda c, j: F.char((F.ascii(c) - 65 + step(j)) % 26 + 65)), "")
+        return let(keyed(key, tweak, n.cast("string"), i.cast("string"), by), each)
+
+    def turn(at: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, F.struct(moved(at["l"], at["r"], i).alias("l"), at["r"].alias("r"))).otherwise(
+            F.struct(at["l"].alias("l"), moved(at["r"], at["l"], i).alias("r")))
+
+    start = F.struct(F.substring(letters, F.lit(1), h).alias("l"), F.substring(letters, h + 1, n).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda at: F.concat(at["l"], at["r"]))
+
+
 def luhn_sum(digits: Column) -> Column:
     def step(total: Column, i: Column) -> Column:
         d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
@@ -113,11 +132,15 @@ def card(m: Column, key: str) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    """A number with right check digits: up to 18 last digits change, then the check digits are made right."""
+    """A number with right check digits: all digits after those change, wherever they stand, and the letters too
+    if they are more than the digits; then the check digits are made right."""
     def new(s: Column) -> Column:
         rest = F.substring(s, F.lit(5), F.length(s))
-        body = let(F.regexp_extract(rest, r"([0-9]{0,18})$", 1), lambda d: F.when(F.length(d) < 2, rest).otherwise(F.concat(
-            F.substring(rest, F.lit(1), F.length(rest) - F.length(d)), permuted_digits(d, key, "iban"))))
+        letters = F.regexp_replace(rest, "[^A-Z]", "")
+        numbers = let(digits_of(rest), lambda d: F.when(F.length(d) < 2, rest).otherwise(
+            filled(rest, permuted_digits(d, key, "iban"))))
+        body = F.when(F.length(letters) * 2 > F.length(rest), filled(
+            numbers, permuted_letters(letters, key, "iban letters"), "[A-Z]")).otherwise(numbers)
         country = F.substring(s, 1, 2)
         check = let(body, lambda x: F.concat(
             country, padded(98 - mod97(F.concat(x, country, F.lit("00"))), 2), x))

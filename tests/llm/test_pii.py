@@ -93,3 +93,36 @@ def test_long_secrets_go_as_a_whole(spark):
     got = replaced(spark, [f'x token="{v}", rest; api_key: {v}' for v in values])
     new = [hashlib.sha256(f"{KEY}|secret|{v}".encode()).hexdigest() for v in values]
     assert got == [(f'x token="{n}", rest; api_key: {n}', 2) for n in new] and len(set(new)) == len(values)
+
+
+def test_iban_digits_change_wherever_they_stand(spark):
+    def valid(s):
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    def whole(country, rest):
+        return next(s for k in range(2, 99) if valid(s := f"{country}{k:02d}{rest}"))
+    given = ["MU17BOMM0101101030300200000MUR", "SC18SSCB11010000000000001497USD", "MT84MALT011000012345MTLCAST001S",
+             "FR1420041010050500013M02606", "DE89370400440532013000", whole("MT", "MALTABCDEFGHIJK"), whole("MT", "MALT7ABCDEFGHIJKLMNOPQRS"),
+             whole("XX", "12ABCDEFGHIJKLMNOPQRSTUVWXYZAB"), whole("XX", "123456789012345678901234567890")]
+    assert all(map(valid, given))
+    cards = ["FR14 2004 1010 0505 0001 3M02 606", "MU18BOMM0101101030300200000MUR"]
+    got = replaced(spark, [f"to {s}." for s in given + cards])
+    assert [n for _, n in got] == [1] * 10 + [0]
+    out = [t[3:-1] for t, _ in got]
+    assert out[10] == cards[1] and out[9].replace(" ", "") == out[3] and [*map(len, out[9].split())] == [4] * 6 + [3]
+    shape = lambda s: "".join("9" if c.isdigit() else "A" for c in s)
+    for old, new in zip(given, out):
+        assert valid(new) and new[:2] == old[:2] and shape(new) == shape(old)
+        digits = "".join(c for c in old[4:] if c.isdigit())
+        if n := len(digits) // 2:
+            left, right = plain_feistel(int(digits[:n]), int(digits[n:]), 10**n, 10**(len(digits) - n), f"iban{len(digits)}")
+            assert "".join(c for c in new[4:] if c.isdigit()) == f"{left:0{n}d}{right:0{len(digits) - n}d}"
+        same = sum(a == b and a.isalpha() for a, b in zip(old[4:], new[4:]))
+        letters = sum(c.isalpha() for c in old[4:])
+        assert same == letters if letters <= len(digits) else same <= letters / 3
+
+
+def test_letters_are_permuted_one_to_one(spark):
+    pairs = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    df = spark.createDataFrame([(p,) for p in pairs], "p string")
+    assert sorted(r[0] for r in df.select(pii.permuted_letters(df["p"], KEY, "t")).collect()) == pairs
