@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def landed(df: DataFrame) -> DataFrame:
     """df, written to the scratch folder and read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,6 +49,20 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the scratch folder, for this session."""
+    return f"{scratch_dir(spark)}/llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def text_of(name: str) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

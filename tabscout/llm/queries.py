@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, simhash_dedup, suffix_dedup, toxicity, url_filter
-from tabscout.llm.common import id_bucket, landed
+from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, sharding, simhash_dedup, suffix_dedup, toxicity, url_filter
+from tabscout.llm.common import id_bucket, landed, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The key of the query's pseudonyms; a user takes a secret one.
@@ -160,6 +160,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id", "n_links")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_places(table(spark, sf_dir, "documents"), 24, scratch_path(spark))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                        F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -171,6 +177,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_sharding": op11_sharding,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
