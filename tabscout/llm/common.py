@@ -88,14 +88,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         pa.default_memory_pool().release_unused()
 
 
-def filter_bits(hashes: DataFrame) -> np.ndarray:
+def filter_bits(hashes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     """A bit for each of the column `hash`; combined on the executors, of fixed size."""
-    place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    place = F.col("hash").bitwiseAND(F.lit(size - 1))
     rows = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in rows:
-        out[r["at"]] = np.uint64(r["bits"] % (1 << 64))
+        F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

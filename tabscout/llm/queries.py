@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, sharding, simhash_dedup, suffix_dedup, toxicity, url_filter
+from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, sharding, simhash_dedup, spelling, suffix_dedup, toxicity, url_filter
 from tabscout.llm.common import id_bucket, landed, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -166,6 +166,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -178,6 +182,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_sharding": op11_sharding,
+    "op12_spelling": op12_spelling,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
