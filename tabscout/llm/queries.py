@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabscout.llm import bpe, chat, decontaminate, exact_dedup, pii, quality, sharding, simhash_dedup, spelling, suffix_dedup, toxicity, url_filter
+from tabscout.llm import bpe, chat, decontaminate, exact_dedup, periods, pii, quality, sharding, simhash_dedup, spelling, suffix_dedup, toxicity, url_filter
 from tabscout.llm.common import id_bucket, landed, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -170,6 +170,17 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), plant=True).withColumn("longest", periods.longest_run())
+    start, length, period = (F.col(f"longest.{c}") for c in ("start", "length", "period"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("1000 * longest.length DIV longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -183,6 +194,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_sharding": op11_sharding,
     "op12_spelling": op12_spelling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
