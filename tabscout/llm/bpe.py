@@ -27,9 +27,9 @@ from tabscout.llm.common import chunks, text_of
 #: How byte-level models cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose new words are encoded together.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: Words kept encoded from one piece to the next; when there are more, all are forgotten.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 #: What the shift leaves for a symbol's id in a pair's key.
 SHIFT = 32
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tabscout.llm.textbytes import has_bit
 
 #: Bytes of text that one numpy step works on; a longer text is still taken whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bits of a filter of hashes: half a MB on the driver and the executors, whatever it filters.
 FILTER_BITS = 1 << 22
 
@@ -73,6 +74,14 @@ def id_bucket(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers outlive their tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds at most limit bytes of text, or one row."""
     for batch in batches:
@@ -85,7 +94,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def filter_bits(hashes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:

@@ -12,6 +12,8 @@ U = np.uint64
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers of both that a worker keeps: 5 MB, enough for a piece of texts and some more.
+KEPT_POWERS = 5 << 16
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +64,19 @@ def word_spans(raw: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, at)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return (np.multiply.accumulate(np.full(n, BASE, U)), np.multiply.accumulate(np.full(n, BASE_INVERSE, U)))
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << max(0, n - 1).bit_length())
-    up, down = _powers(size)
+    """The first n powers of BASE and of its inverse; a table of fixed size is kept, longer ones are not."""
+    up, down = _kept_powers() if n <= KEPT_POWERS else _powers(n)
     return up[:n], down[:n]
 
 
