@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table of at most this many rows is broadcast; beyond it the join shuffles.
@@ -83,14 +83,23 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], small_rows:
     return big.join(small, list(on), how)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tabscout-")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Save a table under the cluster's checkpoint folder and go on from there."""
+    folder = shared_folder(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tabscout-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()

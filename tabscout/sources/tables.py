@@ -13,6 +13,7 @@ from tabscout.functions import words as w
 from tabscout.functions.exprs import FLOATING, TEMPORAL, quoted, text_number, type_of
 from tabscout.operators.common import union_all
 from tabscout.operators.sampling import fixed_sample
+from tabscout.sources.records import csv_records
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 
@@ -80,27 +81,31 @@ def infer_types(df: DataFrame) -> DataFrame:
     ])
 
 
-def _csv_modes(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
-    """The files under a path by (is UTF-8, has cells over several lines), from one look at their lines."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+def _csv_modes(spark: SparkSession, path: str) -> dict[tuple[bool, bool | None], list[str]]:
+    """The files under a path by (is UTF-8, has cells over several lines), from one look at their lines.
+
+    The latter is None for a file with carriage returns and no line feed, which one task has to read."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     # A line with an odd number of quotes, of which one begins a cell, opens a cell that goes
-    # on; only then must a file be read by one task. A lone quote inside a cell does not.
+    # on. A lone quote inside a cell does not.
     opened = (quotes % 2 == 1) & F.col("value").rlike(r'(^|,)\s*"')
     facts = lines.groupBy("file").agg(
-        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(opened).alias("long")).orderBy("file").collect()
-    modes: dict[tuple[bool, bool], list[str]] = {}
+        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(opened).alias("long"), F.count(F.lit(1)).alias("n"),
+        F.max(F.col("value").rlike(r"\r[^\r]")).alias("returns")).orderBy("file").collect()
+    modes: dict[tuple[bool, bool | None], list[str]] = {}
     for r in facts:
-        modes.setdefault((r.utf8, r.long), []).append(unquote(r.file))
+        long = None if r.n == 1 and r.returns else r.long
+        modes.setdefault((r.utf8, long), []).append(unquote(r.file))
     return modes
 
 
 def _read_csv(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataFrame:
     modes = _csv_modes(spark, path)
 
-    def options(mode: tuple[bool, bool]) -> dict:
+    def options(mode: tuple[bool, bool | None]) -> dict:
         utf8, long = mode
-        return dict(multiLine=long, quote='"', escape='"', encoding=encodings[0] if utf8 else encodings[-1])
+        return dict(multiLine=long is not False, quote='"', escape='"', encoding=encodings[0] if utf8 else encodings[-1])
 
     first = min(modes, key=lambda m: modes[m][0], default=None)
     head = spark.read.csv(modes[first][:1], header=False, inferSchema=False, **options(first)).head(1) if modes else []
@@ -110,9 +115,17 @@ def _read_csv(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataF
         f"Unnamed: {i}" if v is None or v == "" else v for i, v in enumerate(head[0])
     ])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    cells = union_all([
-        spark.read.csv(files, schema=schema, header=True, enforceSchema=True, **options(mode))
-        for mode, files in modes.items()])
+
+    def cells_of(mode: tuple[bool, bool | None], files: list[str]) -> DataFrame:
+        chosen = options(mode)
+        if not mode[1]:
+            return spark.read.csv(files, schema=schema, header=True, enforceSchema=True, **chosen)
+        text = F.decode("record", chosen["encoding"])
+        cells = F.from_csv(text, schema.simpleString()[len("struct<"):-1].replace(":", " "), {
+            "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+        return csv_records(spark, files).where(~F.col("first")).select(cells.alias("cells")).select("cells.*")
+
+    cells = union_all([cells_of(mode, files) for mode, files in modes.items()])
     return infer_types(null_tokens(cells.toDF(*names)))
 
 
