@@ -12,8 +12,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tabscout.llm import exact_dedup as ex
+from tabscout.llm import queries
 from tabscout.llm import simhash_dedup as sh
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, id string, _id int"
 
 
@@ -41,6 +43,20 @@ def test_fingerprints_match_plain_ones():
     assert sh.fingerprints_of(pa.array([], pa.string())).tolist() == []
 
 
+def test_query_over_all_documents(spark):
+    texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    ids = sorted(texts)
+    fps = [plain_fingerprint(texts[i]) for i in ids]
+    root = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if root[i] != root[j] and (fps[i] ^ fps[j]).bit_count() <= 2:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_near_dedup(spark, SF).collect()}
+    assert got == {i: (f"{fp:016x}", ids[root[k]]) for k, (i, fp) in enumerate(zip(ids, fps))}
+
+
 def test_every_link_is_found_in_large_buckets_too(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(6)]

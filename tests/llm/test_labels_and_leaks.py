@@ -6,12 +6,12 @@ import re
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
+from test_similar import roots_of
 
 import corpus_pipeline
 from tabscout.llm import decontaminate as dc
-from tabscout.llm import quality, queries, simhash_dedup, toxicity
+from tabscout.llm import quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,6 +35,7 @@ def test_quality_of_unseen_documents(spark):
 def test_toxicity_of_unseen_documents(spark):
     auc, rows = held_out(queries.op6_toxicity(spark, SF), spark, "toxic")
     assert auc > 0.9 and sum(r.predicted for r in rows if r.toxic == 0) <= 1
+    assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.9 * sum(r.toxic for r in rows)
 
 
 def test_machine_equals_the_sum_over_pairs():
@@ -144,13 +145,7 @@ def test_pipeline_is_its_stages(spark):
     left = sorted(i for i in rows if scores[i] >= 0.5)
     seen: set[str] = set()
     left = [i for i in left if (n := re.sub(r"[\x20\x09-\x0D]+", " ", rows[i])) not in seen and not seen.add(n)]
-    fps = simhash_dedup.fingerprints_of(pa.array([rows[i] for i in left])).tolist()
-    root = list(range(len(left)))
-    for i in range(len(left)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2 and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
+    root = roots_of([rows[i] for i in left])
     left = [d for k, d in enumerate(left) if root[k] == k]
     items = [plain_words(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     windows = {" ".join(w[a:a + 10]) for w in items for a in range(len(w) - 9)}

@@ -9,8 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabscout.llm import queries
 from tabscout.llm import suffix_dedup as sd
 
+SF = "/root/testdata/sf0.01"
+
 
 def plain_mask(texts, length):
     seen: dict[bytes, int] = {}
@@ -81,6 +84,31 @@ def test_spans_of_odd_tables(spark, options):
     assert sd.repeated_spans(df.limit(0), length=40, piece=16).count() == 0
 
 
+def test_query_over_all_documents(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.table(spark, SF, "documents").collect()}
+    seen: dict[int, int] = {}
+    for x in texts.values():
+        for i in range(len(x) - 399):
+            h = hash(x[i:i + 400])
+            seen[h] = seen.get(h, 0) + 1
+    got = {r.doc_id: r for r in queries.op9_suffix_dedup(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    some = 0
+    for i, x in texts.items():
+        edges = np.zeros(len(x) + 1, np.int64)
+        for k in range(len(x) - 399):
+            if seen[hash(x[k:k + 400])] > 1:
+                edges[k] += 1
+                edges[k + 400] -= 1
+        gone = np.cumsum(edges)[:-1] > 0
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
+        kept = bytes(np.frombuffer(x, np.uint8)[~gone])
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        some += spans > 0
+    assert some > 20
+
+
 def test_a_passage_in_every_text(spark):
     passage = " ".join(f"word{i}" for i in range(100))
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(
