@@ -21,12 +21,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
               exact: bool = True, key_count: int | None = None) -> DataFrame:
     """Per key: `n` (non-null values) and `q`, the quantiles at `probs`.
 
-    `key_count` is a known bound on the number of keys. Only counts are shuffled:
-    values are counted by magnitude, the buckets that hold the wanted ranks are
-    split into equal steps and counted again, and only the values in the steps that
-    hold the ranks, with their number of copies, are put in order. With a known number of
-    keys the buckets are looked at on the driver: only those of more than SORT_ROWS rows are
-    split, as often as it takes. `exact=False` takes the sketch of `approx_percentile` instead.
+    Only counts are shuffled: values are counted by magnitude, and of the buckets that hold
+    wanted ranks only the values, with their number of copies, are put in order. These
+    buckets come to the driver, BROADCAST_ROWS of them at most, and go out again with a scan:
+    no row leaves its task but for those in a bucket, and buckets of more than SORT_ROWS rows are split
+    as often as it takes. Of more keys than that the rows are shuffled to their buckets, which are then split
+    into equal steps. `key_count`, a known bound on the number of keys, spares the look
+    where there are too many. `exact=False` takes the sketch of `approx_percentile` instead.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
@@ -36,7 +37,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     groups = [f"_g{i}" for i in range(max(len(keys), 1))]
     named = [F.col(k).alias(g) for k, g in zip(keys, groups)] or [F.lit(1).alias("_g0")]
     x = F.col("_x").cast("double")
-    few = key_count is not None and key_count * 2 * len(probs) <= BROADCAST_ROWS
+    few = key_count is None or key_count * 2 * len(probs) <= BROADCAST_ROWS
     rows = data.select(*named, F.col(value).alias("_x")).withColumn("_bucket", _magnitude(x))
     sizes = rows.groupBy(*groups, "_bucket").agg(
         F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
@@ -44,16 +45,19 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     coarse = _holding(sizes.select(
         *groups, "_bucket", "_n", "_lo", "_hi", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
         F.sum("_n").over(Window.partitionBy(*groups)).alias("_total")), probs)
-    if few:
-        found = _pick(_in_order(rows, coarse, groups, probs), groups, probs)
+    schema = coarse.select(*groups, "_bucket", "_lo", "_hi", "_n", "_start", "_total").schema
+    held = coarse.limit(BROADCAST_ROWS + 1).collect() if few else []
+    if few and len(held) <= BROADCAST_ROWS:
+        parts = [tuple(r[c] for c in schema.names) for r in held]
+        found = _pick(_in_order(rows, schema, parts, groups, probs), groups, probs)
         return found.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "n", "q")
     step = F.coalesce(F.floor(F.try_divide((x - F.col("_lo")) * SPLITS, F.col("_hi") - F.col("_lo"))), F.lit(0))
-    split = _join(rows, coarse, [*groups, "_bucket"], few).withColumn("_step", step).drop("_lo", "_hi", "_n")
+    split = _join(rows, coarse, [*groups, "_bucket"], False).withColumn("_step", step).drop("_lo", "_hi", "_n")
     upto = Window.partitionBy(*groups, "_bucket").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
     fine = _holding(split.groupBy(*groups, "_bucket", "_step", "_start", "_total").agg(F.count("*").alias("_n")).withColumn(
         "_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n")), probs)
     place = [*groups, "_bucket", "_step"]
-    left = _join(split.drop("_start", "_total"), fine.drop("_n"), place, few)
+    left = _join(split.drop("_start", "_total"), fine.drop("_n"), place, False)
     counted = left.groupBy(*place, "_start", "_total", "_x").agg(F.count("*").alias("_n"))
     inside = Window.partitionBy(*place).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_first", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
@@ -61,14 +65,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return found.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], "n", "q")
 
 
-def _in_order(rows: DataFrame, coarse: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
+def _in_order(rows: DataFrame, schema: T.StructType, parts: list[tuple], groups: list[str],
+              probs: Sequence[float]) -> DataFrame:
     """The values of the parts that hold wanted ranks, with their first rank and copies.
 
     A part is an interval of one bucket; there are at most two for each key and quantile."""
     spark, place = rows.sparkSession, [*groups, "_bucket"]
-    schema = coarse.select(*place, "_lo", "_hi", "_n", "_start", "_total").schema
     x = F.col("_x").cast("double")
-    parts = [tuple(r[c] for c in schema.names) for r in coarse.collect()]
 
     def within(some: list[tuple]) -> DataFrame:
         numbered = spark.createDataFrame([(i, *p) for i, p in enumerate(some)], T.StructType(

@@ -14,6 +14,7 @@ from tabscout.operators.common import (
     counts_by_value, join_small, long_form, stack_row,
 )
 from tabscout.operators.groups import outcome_flag
+from tabscout.operators.moments import co_moments
 from tabscout.operators.profile import column_quantiles
 from tabscout.operators.quantiles import group_medians, quantiles
 from tabscout.operators.sampling import fixed_sample, row_key
@@ -116,29 +117,19 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str
 def pair_correlations(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Pearson r of every pair of measures over the rows where both are finite.
 
-    A measure that is constant on those rows has no r, and then no score. All pairs
-    come from one scan; a row is laid out as its pairs, which are summed up before the
-    one small exchange.
+    A measure that is constant on those rows has no r, and then no score. One scan; a task gives
+    one row, the packed co-moments of all pairs.
     """
     measures = list(measures)
     schema = "pair int, x string, y string, n bigint, r double, score double, passes boolean"
-    pairs = [(i * len(measures) + j, a, b) for (i, a), (j, b) in combinations(enumerate(measures), 2)]
+    pairs = [(k, i * len(measures) + j, a, b) for k, ((i, a), (j, b)) in enumerate(combinations(enumerate(measures), 2))]
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    base, spot = _numbers(df, measures)
-    cells = base.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("pair"), F.col(spot[a]).alias("a"), F.col(spot[b]).alias("b")) for k, a, b in pairs])))
-    whole = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(True))
-    a, b = F.when(whole, F.col("a")), F.when(whole, F.col("b"))
-    sums = cells.groupBy("pair").agg(
-        F.count(whole).alias("n"), F.covar_pop(a, b).alias("c"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"),
-        ((F.min(a) < F.max(a)) & (F.min(b) < F.max(b))).alias("vary"))
-    names = df.sparkSession.createDataFrame(pairs, "pair int, x string, y string")
+    found = co_moments(_numbers(df, measures)[0]).withColumnRenamed("pair", "_k")
+    names = df.sparkSession.createDataFrame(pairs, "_k int, pair int, x string, y string")
     strength = F.abs("r")
-    found = names.join(F.broadcast(sums), "pair", "left").select(
-        "pair", "x", "y", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
-        F.when(F.col("vary"), F.try_divide("c", F.col("sa") * F.col("sb"))).alias("r"))
-    return found.select(
+    named = names.join(F.broadcast(found), "_k", "left").select("pair", "x", "y", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "r")
+    return named.select(
         "*", F.when(strength.isNotNull(), 59 + F.least(22 * strength, F.lit(18.0))).alias("score"),
         F.coalesce((F.col("n") >= 100) & (strength >= 0.55), F.lit(False)).alias("passes"))
 

@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from tabscout.functions.exprs import is_scalar, quoted, type_of
 
-# Expected number of rows that come through the hash threshold, per wanted row.
-OVERSAMPLE = 4
 HASH_STEPS = 1 << 32
+# Of tables with more rows the samples of so many shares of the tasks are taken first.
+TREE_ROWS, SHARES = 1_000_000_000, 1000
 
 
 def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -21,11 +21,16 @@ def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in columns]))
 
 
-def row_hash(df: DataFrame, seed: int = 0, columns: Sequence[str] | None = None) -> Column:
-    """The first 60 bits of the MD5 of seed and named columns, as a number; any engine can work it out."""
+def _hash_text(df: DataFrame, seed: int, columns: Sequence[str] | None) -> Column:
+    """The first 15 hex digits of the MD5 of seed and named columns; any engine can work it out."""
     columns = columns or [c for c in df.columns if is_scalar(type_of(df, c))]
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.substring(F.md5(text), 1, 15)
+
+
+def row_hash(df: DataFrame, seed: int = 0, columns: Sequence[str] | None = None) -> Column:
+    """The same as a number of 60 bits."""
+    return F.conv(_hash_text(df, seed, columns), 16, 10).cast("bigint")
 
 
 def hash_share(h: Column) -> Column:
@@ -58,23 +63,16 @@ def fixed_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | Non
                  rows: int | None = None) -> DataFrame:
     """n rows without replacement, the same ones on every run and any partitioning.
 
-    A threshold on the hash first cuts the table to a few times n rows, of
-    which the n lowest are exact. Where too few come through (nearly all rows
-    are copies of a few), it is raised until enough do; the rows that are left
-    besides those copies are then few as well.
+    They are the n rows of lowest hash, of equal hash those of lowest values. One scan: each
+    task keeps a heap of n rows, and the heaps are merged. `rows` is the number of rows, if it is
+    known; of a table with more than TREE_ROWS the heaps are merged in shares first.
     """
-    total = df.count() if rows is None else rows
-    if total <= n:
+    if rows is not None and rows <= n:
         return df
-    hashed = df.withColumn("_h", row_hash(df, seed, key))
-    kept, share = hashed, OVERSAMPLE * n / max(total, 1)
-    while share < 0.25:
-        kept = hashed.where(hash_share(F.col("_h")) < int(share * HASH_STEPS))
-        if kept.count() >= n:
-            break
-        kept, share = hashed, share * 16
     names = [f"c{i}" for i in range(len(df.columns))]
-    plain = kept.select(
-        F.lit(0).alias("_k"), "_h", *[quoted(c).alias(x) for c, x in zip(df.columns, names)])
-    sample = lowest_hash_rows(plain, ["_k"], names, "_h", n)
-    return sample.select(*[F.col(x).alias(c) for c, x in zip(df.columns, names)])
+    hashed = df.select(_hash_text(df, seed, key).alias("_h"), *[quoted(c).alias(x) for c, x in zip(df.columns, names)])
+    if rows is not None and rows > TREE_ROWS:
+        share = Window.partitionBy("_share").orderBy("_h", *names)
+        hashed = hashed.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(SHARES))).withColumn(
+            "_rank", F.row_number().over(share)).where(F.col("_rank") <= n)
+    return hashed.orderBy("_h", *names).limit(n).select(*[F.col(x).alias(c) for c, x in zip(df.columns, names)])

@@ -24,7 +24,7 @@ def skewed(spark, n=4000):
     return rows, spark.createDataFrame(rows, "k string, v double").repartition(5)
 
 
-@pytest.mark.parametrize("count", [None, 6])
+@pytest.mark.parametrize("count", [None, 6, 10**9])
 def test_quantiles_match_numpy(spark, count):
     rows, df = skewed(spark)
     found = {r.k: r for r in quantiles(df, ["k"], "v", PROBS, key_count=count).collect()}
@@ -59,6 +59,15 @@ def test_large_buckets_are_split_again_and_again(spark, monkeypatch):
     np.testing.assert_allclose(found[None].q, np.quantile(values[:77], PROBS), rtol=1e-15)
 
 
+def test_more_keys_than_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    rows, df = skewed(spark)
+    found = {r.k: r for r in quantiles(df, ["k"], "v", PROBS).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "v"]).dropna()
+    for k, part in pdf.groupby("k"):
+        np.testing.assert_allclose(found[k].q, np.quantile(part.v, PROBS), rtol=1e-12)
+
+
 def test_without_keys(spark):
     _, df = skewed(spark)
     values = [r.v for r in df.where("v IS NOT NULL").collect()]

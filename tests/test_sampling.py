@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabscout.operators import sampling
 from tabscout.operators.places import geo_points
 from tabscout.operators.profile import first_values
 from tabscout.operators.sampling import fixed_sample
@@ -20,6 +21,19 @@ def test_sample_is_the_same_on_any_partitioning(spark):
     assert one == rows_of(fixed_sample(df, 500, rows=200_000))
 
 
+def test_sample_in_shares_is_the_same(spark, monkeypatch):
+    df = spark.range(20_000).withColumn("v", F.col("id") % 7)
+    one = rows_of(fixed_sample(df, 300))
+    monkeypatch.setattr(sampling, "TREE_ROWS", 1000)
+    monkeypatch.setattr(sampling, "SHARES", 3)
+    assert one == rows_of(fixed_sample(df.repartition(7), 300, rows=20_000))
+
+
+def test_sample_takes_one_scan(spark):
+    text = fixed_sample(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"), 50)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "TakeOrderedAndProject" in text and "Exchange" not in text
+
+
 def test_sample_of_a_small_table_is_the_table(spark):
     df = spark.range(30)
     assert rows_of(fixed_sample(df, 500)) == rows_of(df)
