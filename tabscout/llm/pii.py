@@ -15,27 +15,38 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+#: A secret's name up to its value; the name may be quoted, as in JSON.
+SECRET_OPEN = SECRET_NAME + r"[\"']?[ \t]*+[=:][ \t]*+"
+AUTH_OPEN = r"(?i:authorization[\"']?[ \t]*+[=:][ \t]*+[\"']?(?:(?:bearer|basic|token)[ \t]++)?|bearer[ \t]++)"
+QUOTED = r"\"(?:[^\"\\\n]|\\.)++\"|'(?:[^'\\\n]|\\.)++'"
+HEX = "[0-9A-Fa-f]{1,4}"
 #: What each kind looks like, tried in this order at each place of a text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": SECRET_NAME + r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"',;]{6,}+",
+    "private_key": r"-----BEGIN(?: [A-Z0-9]++)*? PRIVATE KEY-----(?:[^\-]|-(?!----))++(?:-----END(?: [A-Z0-9]++)*? PRIVATE KEY-----)?",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9\-]++\.))++[A-Za-z]{2,}+",
+    "authorization": AUTH_OPEN + r"[^\s\"',;]{12,}+",
+    "secret": SECRET_OPEN + "(?:" + QUOTED + r"|[\"']?[^\s\"',;]{6,}+|(?=[^\s\"',;]*\d)[^\s\"',;]{3,5}+)",
+    "web_token": r"(?<![A-Za-z0-9_\-.])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]++)?",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?!\d)",
     "ip": r"(?<![\d.])" + OCTET + r"(?:\." + OCTET + r"){3}(?!\d|\.\d)",
+    "ip6": rf"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|{HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?)(?![A-Za-z0-9:])",
     "ssn": r"(?<!\d|\d-)(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?!\d|-\d)",
     "phone": r"(?<![\d+])(?:\+?1[ .\-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .\-])[2-9]\d\d[ .\-]\d{4}(?!\d)",
     "foreign_phone": r"(?<![\d+])\+[2-9]\d{0,2}(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+    "plain_phone": r"(?<![\d+.,\-A-Za-z])[2-9]\d{9}(?![\dA-Za-z]|[.,\-]\d)",
     "card": r"(?<![\d])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
 #: Any match has one of these; looking for them first spares most texts the full search.
-NEEDED = r"[0-9@=:]|AKIA"
+NEEDED = r"[0-9@=:]|AKIA|eyJ|PRIVATE KEY|(?i:bearer)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def keyed(key: str, *parts: Column | str) -> Column:
+def keyed(key: str | Column, *parts: Column | str) -> Column:
     """A keyed digest in hex."""
-    return F.sha2(F.concat_ws("|", F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"), 256)
+    return F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), *[
+        p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"), 256)
 
 
 def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key: str, tweak: Column | str) -> Column:
@@ -88,25 +99,39 @@ def filled(text: Column, signs: Column, kind: str = "[0-9]") -> Column:
     return F.aggregate(F.split(text, ""), start, put, lambda at: at["out"])
 
 
-def permuted_letters(letters: Column, key: str, tweak: str) -> Column:
-    """Of 2 to 32 letters A-Z, as many others: a Feistel network that moves each letter of a half on by a digest of the other."""
-    n = F.length(letters)
+LETTERS, HEX_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+
+
+def permuted_signs(text: Column, signs: str, key: str, tweak: str) -> Column:
+    """Of 2 to 32 of the given signs, as many others: a Feistel network that moves each sign of a half on by a digest of the other."""
+    n = F.length(text)
     h = F.floor(n / 2).cast("int")
 
     def moved(x: Column, by: Column, i: Column) -> Column:
         def each(digest: Column) -> Column:
             step = lambda j: F.conv(F.substring(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            return F.array_join(F.transform(F.split(x, ""), lambda c, j: F.char((F.ascii(c) - 65 + step(j)) % 26 + 65)), "")
+            return F.array_join(F.transform(F.split(x, ""), lambda c, j: F.substring(
+                F.lit(signs), (F.instr(F.lit(signs), c) - 1 + step(j)) % len(signs) + 1, F.lit(1))), "")
         return let(keyed(key, tweak, n.cast("string"), i.cast("string"), by), each)
 
     def turn(at: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(moved(at["l"], at["r"], i).alias("l"), at["r"].alias("r"))).otherwise(
             F.struct(at["l"].alias("l"), moved(at["r"], at["l"], i).alias("r")))
 
-    start = F.struct(F.substring(letters, F.lit(1), h).alias("l"), F.substring(letters, h + 1, n).alias("r"))
+    start = F.struct(F.substring(text, F.lit(1), h).alias("l"), F.substring(text, h + 1, n).alias("r"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda at: F.concat(at["l"], at["r"]))
 
 
+def permuted_letters(letters: Column, key: str, tweak: str) -> Column:
+    """Of 2 to 32 letters A-Z, as many others."""
+    return permuted_signs(letters, LETTERS, key, tweak)
+
+
+def in_case_of(text: Column, made: Column) -> Column:
+    """made with the letters small where those of text are; both are equally long."""
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(made, ""), lambda a, b: F.when(a.rlike("[a-z]"), F.lower(b)).otherwise(b)), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     def step(total: Column, i: Column) -> Column:
         d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
@@ -133,7 +158,7 @@ def card(m: Column, key: str) -> Column:
 
 def iban(m: Column, key: str) -> Column:
     """A number with right check digits: all digits after those change, wherever they stand, and the letters too
-    if they are more than the digits; then the check digits are made right."""
+    if they are more than the digits; then the check digits are made right. Small letters stay small."""
     def new(s: Column) -> Column:
         rest = F.substring(s, F.lit(5), F.length(s))
         letters = F.regexp_replace(rest, "[^A-Z]", "")
@@ -145,8 +170,8 @@ def iban(m: Column, key: str) -> Column:
         check = let(body, lambda x: F.concat(
             country, padded(98 - mod97(F.concat(x, country, F.lit("00"))), 2), x))
         spaced = F.when(F.instr(m, " ") > 0, F.trim(F.regexp_replace(check, r"(.{4})", "$1 "))).otherwise(check)
-        return F.when(mod97(F.concat(rest, F.substring(s, 1, 4))) == 1, spaced).otherwise(m)
-    return let(F.regexp_replace(m, " ", ""), new)
+        return F.when(mod97(F.concat(rest, F.substring(s, 1, 4))) == 1, in_case_of(m, spaced)).otherwise(m)
+    return let(F.upper(F.regexp_replace(m, " ", "")), new)
 
 
 def date(m: Column, key: str) -> Column:
@@ -177,6 +202,12 @@ def ip(m: Column, key: str) -> Column:
     return let(F.split(m, r"\."), new)
 
 
+def ip6(m: Column, key: str) -> Column:
+    """The hex digits of an address become others, as many in each group; equal writings, whatever their case, become equal."""
+    digits = F.regexp_replace(F.lower(m), ":", "")
+    return let(digits, lambda d: F.when(F.length(d) < 2, m).otherwise(filled(m, permuted_signs(d, HEX_SIGNS, key, "ip6"), "[0-9A-Fa-f]")))
+
+
 def ssn(m: Column, key: str) -> Column:
     """Area 001-899 without 666, group 01-99, serial 0001-9999 get others of the same."""
     def new(d: Column) -> Column:
@@ -205,24 +236,62 @@ def foreign_phone(m: Column, key: str) -> Column:
         F.substring(d, 1, 2), permuted_digits(F.substring(d, F.lit(3), F.length(d)), key, "foreign phone"))))
 
 
+def plain_phone(m: Column, key: str) -> Column:
+    """Ten digits in a row, from 2 up: the first one stays, the others change."""
+    return F.concat(F.substring(m, 1, 1), permuted_digits(F.substring(m, 2, 9), key, "plain phone"))
+
+
 def email(m: Column, key: str) -> Column:
     """The name becomes a keyed digest of the address in lower case; the domain stays."""
     return F.concat(F.lit("u"), F.substring(keyed(key, "email", F.lower(m)), 1, 16), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def hidden(value: Column, key: str, tweak: str) -> Column:
+    """A keyed digest of up to 64 signs, no longer than the value was."""
+    return F.substring(keyed(key, tweak, value), F.lit(1), F.length(value))
+
+
+def opened(m: Column, pattern: str, key: str, tweak: str) -> Column:
+    """What stands before the value, that is the pattern and a quote, stays, and so does the quote that closes it; the value is hidden."""
+    def new(name: Column) -> Column:
+        rest = F.substring(m, F.length(name) + 1, F.length(m))
+        quote = F.right(name, F.lit(1))
+        closed = quote.isin("'", '"') & rest.endswith(quote)
+        value = F.when(closed, F.substring(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+        return F.concat(name, hidden(value, key, tweak), F.when(closed, quote).otherwise(F.lit("")))
+    return let(F.regexp_extract(m, f"^(?:{pattern})[\"']?", 0), new)
+
+
 def secret(m: Column, key: str) -> Column:
-    """The value, of any length, becomes a keyed digest of up to 64 signs, no longer than it was; its name and quotes stay."""
-    name = F.regexp_extract(m, "^" + SECRET_NAME + r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?", 0)
-    value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.concat(name, F.substring(keyed(key, "secret", value), F.lit(1), F.length(value)))
+    """The value, of any length, goes; its name and quotes stay. A value in quotes goes up to the closing one."""
+    return opened(m, SECRET_OPEN, key, "secret")
+
+
+def authorization(m: Column, key: str) -> Column:
+    """What follows the name of the header and of the scheme goes."""
+    return opened(m, AUTH_OPEN, key, "authorization")
+
+
+def web_token(m: Column, key: str) -> Column:
+    """A JSON web token goes as a whole."""
+    return hidden(m, key, "web token")
+
+
+def private_key(m: Column, key: str) -> Column:
+    """What stands between the lines that begin and end a private key goes; without an end, all that follows up to five hyphens."""
+    edge = r"-----(?:BEGIN|END)(?: [A-Z0-9]++)*? PRIVATE KEY-----"
+    end = F.regexp_extract(m, r"-----END(?: [A-Z0-9]++)*? PRIVATE KEY-----$", 0)
+    body = F.regexp_replace(m, edge, "")
+    return F.concat(F.regexp_extract(m, f"^{edge}", 0), F.lit("\n"), hidden(body, key, "private key"), F.lit("\n"), end)
 
 
 def access_key(m: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), F.upper(F.substring(keyed(key, "access key", m), 1, 16)))
 
 
-MAKERS = {"email": email, "secret": secret, "access_key": access_key, "iban": iban, "date": date, "ip": ip, "ssn": ssn,
-          "phone": phone, "foreign_phone": foreign_phone, "card": card}
+MAKERS = {"private_key": private_key, "email": email, "authorization": authorization, "secret": secret, "web_token": web_token,
+          "access_key": access_key, "iban": iban, "date": date, "ip": ip, "ip6": ip6, "ssn": ssn, "phone": phone,
+          "foreign_phone": foreign_phone, "plain_phone": plain_phone, "card": card}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -233,13 +302,15 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymized(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str | Column, text_col: str = "text") -> DataFrame:
     """docs with personal data in the text column replaced, and `pii_found`, how many values were.
 
     Numbers that fail their test (Luhn, check digits, calendar, ranges) are left alone. Null
     texts stay null with nothing found, empty ones empty. Equal values become equal
     under one key. A column named pii_found is replaced. Each text is cut at its matches,
-    and only texts with one are worked on."""
+    and only texts with one are worked on. Repeated rows stay, texts of any length are taken whole, an empty table gives no rows.
+    A key given as text is a literal of the plan, so explain and event logs show it; a column of docs, as
+    from a table that only the job may read, does not."""
     text = F.col(f"`{text_col}`").cast("string")
     has = text.rlike(NEEDED) & text.rlike(ANY)
     free = next(n for n in (f"_pii{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
