@@ -126,11 +126,13 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, keys: dict[st
     cols = [F.col(f"`{c}`") for c in docs.columns]
     names = list(keys)
 
+    free = {k: free_name(docs, f"other_{k}") for k in names}
+
     def on(table: DataFrame) -> tuple[DataFrame, Column]:
-        other = table.select(*[F.col(k).alias(f"_other_{k}") for k in names])
+        other = table.select(*[F.col(k).alias(free[k]) for k in names])
         same = F.lit(True)
         for k, e in keys.items():
-            same = same & e.eqNullSafe(F.col(f"_other_{k}"))
+            same = same & e.eqNullSafe(F.col(free[k]))
         return other, same
 
     some = not repeated.isEmpty()
@@ -142,5 +144,5 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, keys: dict[st
     if not some:
         return left
     twice, same = on(repeated)
-    once = near.join(twice, same).dropDuplicates([f"_other_{k}" for k in names])
+    once = near.join(twice, same).dropDuplicates([free[k] for k in names])
     return left.unionByName(once.select(*cols))

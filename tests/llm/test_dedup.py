@@ -132,3 +132,26 @@ def test_one_text_in_a_third_of_the_rows(spark):
     assert ex.drop_exact_copies(df).count() == 2001
     sizes = {r.group_size for r in ex.exact_groups(df).collect()}
     assert sizes == {1, 1000}
+
+
+def test_rows_left_after_each_step_of_exact_dedup(spark):
+    texts = ["a" * 9, "b" * 8, "b" * 8, "c" * 8, "d" * 7, "x" * 300 + "1", "x" * 300 + "2", "y" * 301, "only one has this length"]
+    keys = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, _norm string").withColumn("_len", F.length("_norm"))
+    lengths = ex.repeated_lengths(keys)
+    assert sorted(r[0] for r in lengths.collect()) == [8, 301]
+    left = keys.join(lengths, "_len", "left_semi")
+    assert left.count() == 6
+    alike = ex.repeated_heads(keys, lengths)
+    assert sorted(r._len for r in alike.collect()) == [8, 301]
+    assert left.withColumn("_head", ex.head_of()).join(alike, ["_len", "_head"], "left_semi").count() == 4
+    plan = ex.repeated_heads(keys, lengths)
+    found = ex.exact_groups(keys.select(F.col("_id").alias("doc_id"), F.col("_norm").alias("text"))).collect()
+    assert sorted(r.id for r in found if r.digest) == [1, 2, 5, 6] and plan.count() == 2
+    assert sorted((r.id, r.keep_id) for r in found if r.group_size > 1) == [(1, 1), (2, 1)]
+
+
+def test_extra_columns_with_the_names_of_helpers(spark):
+    df = spark.createDataFrame([(1, "a", 5, "z"), (2, "a", 6, "y"), (2, "a", 6, "y"), (None, "b", 7, None)],
+                               "doc_id long, text string, _other_id long, _other_digest string")
+    for kept in (ex.drop_exact_copies(df), sh.drop_near_copies(df)):
+        assert kept.columns == df.columns and sorted(r._other_id for r in kept.collect()) == [5, 7]
