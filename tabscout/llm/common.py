@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ FILTER_BITS = 1 << 22
 
 #: Folders of local sessions that set none, by application.
 _temporary: dict[str, str] = {}
+#: The paths landed since each released() that this thread is in.
+_helpers = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,14 +43,37 @@ def landed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
+    if opened := getattr(_helpers, "opened", None):
+        opened[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns, landed; the tables that were landed on the way are deleted."""
+    if not hasattr(_helpers, "opened"):
+        _helpers.opened = []
+    _helpers.opened.append([])
+    try:
+        out = landed(build())
+    finally:
+        paths = _helpers.opened.pop()
+    kept = paths.pop()
+    delete(out.sparkSession, paths)
+    if _helpers.opened:
+        _helpers.opened[-1].append(kept)
+    return out
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what landed() wrote in this session; call it when the results are saved."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/llm/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, [f"{scratch_dir(spark)}/llm/{spark.sparkContext.applicationId}"])
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.llm.common import chunks, landed, text_of, without
+from tabscout.llm.common import chunks, landed, released, text_of, without
 from tabscout.llm.textbytes import byte_table, nonspace_bytes, utf8, word_spans
 
 SHINGLE_WORDS = 3
@@ -148,6 +148,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
     return out.distinct()
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    large = landed(large.distinct())
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
+        low.select("u", F.col("m").alias("v"))).where("u > v")
+    return small.distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of pairs (u, v) reaches.
 
@@ -160,14 +172,7 @@ def components(pairs: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        large = landed(large.distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-            low.select("u", F.col("m").alias("v"))).where("u > v")
-        edges = landed(small.distinct())
+        edges = released(lambda edges=edges: stars(edges))
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -186,7 +191,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     nodes = landed(rows.groupBy("fp").agg(smallest.alias("least")))
     pairs = landed(links(nodes.select("fp"), bucket_rows=bucket_rows))
-    roots = landed(components(pairs))
+    roots = released(lambda: components(pairs))
     degree = pairs.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscout.llm.common import chunks, landed, passes_filter, text_of
-from tabscout.llm.textbytes import mixed, powers, prefix_hash, utf8
+from tabscout.llm.common import chunks, filter_bits, landed, passes_filter, text_of
+from tabscout.llm.textbytes import U, has_bit, mixed, powers, prefix_hash, utf8
 
 LENGTH = 400
 #: Bytes of the pieces whose least hash names a window.
 PIECE = 64
 #: Bytes of contexts that are sorted together; the contexts of one key are never parted below KEY_BYTES.
 SORT_BYTES = 2 << 20
-#: Keys with more bytes of contexts are not sorted in one task; their windows are counted by hash.
-KEY_BYTES = 32 << 20
+#: Contexts of keys with more bytes are cut down, and dealt to parts of at most about that size, before they are sorted.
+KEY_BYTES = 4 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -253,25 +253,78 @@ def sorted_repeats(contexts: DataFrame, length: int, sort_bytes: int) -> DataFra
     return contexts.select("key", "mark", "count", "context").mapInArrow(run, "key long, mark long, at long, n long")
 
 
-def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """The same by counting two hashes of every window: for keys with too many bytes for one task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ends_of(context: bytes, key: int, length: int, piece: int) -> np.ndarray:
+    """A hash of the key and of the first and last bytes of each window of a context."""
+    raw = np.frombuffer(context, np.uint8)
+    sums = prefix_hash(raw)
+    pieces = mixed((sums[piece:] - sums[:-piece]) * powers(len(sums))[1][:len(raw) - piece + 1])
+    windows = len(raw) - length + 1
+    return mixed(pieces[:windows] * U(0xFF51AFD7ED558CCD) + pieces[length - piece:] + U(key % (1 << 64)))
+
+
+def hot_pieces(hot: DataFrame, length: int, piece: int, key_bytes: int) -> DataFrame:
+    """(key, part, mark, shift, count, context) of the contexts of keys with too many bytes for one task, made small.
+
+    Windows whose ends are alone in their key go; what is left of a context are shorter ones, of which most
+    are equal where a passage is common. Of a key that still has too many bytes the windows are dealt to
+    parts by their ends, so that equal windows stay together. shift: where a piece begins in its context."""
+    columns = hot.select("key", "mark", "count", "context")
+    kind = "key long, mark long, shift long, count long, part long, context binary"
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            keys, counts, texts = (b.column(c).to_pylist() for c in ("key", "count", "context"))
+            hashes = [ends_of(x, k, length, piece) for x, k in zip(texts, keys)]
+            times = np.repeat(np.array(counts, np.int64), [len(h) for h in hashes])
+            found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(place, times).astype(np.int64))], ["hash", "n"])
+
+    bits = columns.mapInArrow(seen, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    shared = hot.sparkSession.sparkContext.broadcast(filter_bits(bits))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = []
             for key, mark, count, context in zip(*[b.column(c).to_pylist() for c in ("key", "mark", "count", "context")]):
-                raw = np.frombuffer(context, np.uint8)
-                n = len(raw) - length + 1
-                hashes = []
-                for table in (np.arange(256), np.random.default_rng(1).permutation(256)):
-                    sums = prefix_hash(table[raw].astype(np.uint8))
-                    hashes.append(mixed((sums[length:] - sums[:-length]) * powers(len(sums))[1][:n]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, key)), pa.array(np.full(n, mark)), pa.array(np.arange(n)),
-                     pa.array(np.full(n, count)), *map(pa.array, hashes)], ["key", "mark", "at", "count", "h", "g"])
+                again = has_bit(shared.value, ends_of(context, key, length, piece))
+                out += [(key, mark, a, count, 0, context[a:a + n + length - 1]) for a, n in zip(*runs(again))]
+            yield rows_batch(out)
 
-    each = contexts.select("key", "mark", "count", "context").mapInArrow(
-        run, "key long, mark long, at long, count long, h long, g long")
-    many = each.groupBy("h", "g").agg(F.sum("count").alias("all")).where(F.col("all") > 1).select("h", "g")
-    return each.join(many, ["h", "g"], "left_semi").select("key", "mark", "at", F.lit(1).cast("long").alias("n"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, mark, shift, count, parts, context in zip(*[b.column(c).to_pylist() for c in ("key", "mark", "shift", "count", "parts", "context")]):
+                part = (ends_of(context, key, length, piece) % U(parts)).astype(np.int64)
+                edge = np.flatnonzero(np.diff(part)) + 1
+                yield rows_batch([(key, mark, shift + a, count, int(part[a]), context[a:z + length - 1])
+                                  for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(part)])])
+
+    pieces = landed(columns.mapInArrow(cut, kind))
+    windows = F.length("context") - length + 1
+    unlike = pieces.select("key", F.xxhash64("context", F.length("context")).alias("same"), windows.alias("n"), F.length("context").alias("size"))
+    sizes = unlike.dropDuplicates(["key", "same"]).groupBy("key").agg(F.sum("size").alias("bytes"), F.sum("n").alias("n")).where(
+        F.col("bytes") > key_bytes).select(F.col("key").alias("_key"), F.ceil(F.col("n") * length / max(key_bytes, 1)).alias("parts"))
+    sizes = landed(sizes)
+    large = pieces.join(sizes, pieces["key"] == sizes["_key"]).drop("_key")
+    small = pieces.join(sizes, pieces["key"] == sizes["_key"], "left_anti")
+    return landed(small.unionAll(large.select("key", "mark", "shift", "count", "parts", "context").mapInArrow(deal, kind)))
+
+
+def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, pa.binary()]
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "mark", "shift", "count", "part", "context"])
+
+
+def hot_repeats(hot: DataFrame, length: int, piece: int, sort_bytes: int, key_bytes: int) -> DataFrame:
+    """(key, mark, at, n) of sorted_repeats for the contexts of keys with too many bytes for one task."""
+    pieces = hot_pieces(hot, length, piece, key_bytes).withColumn("same", F.xxhash64("context", F.length("context")))
+    unlike = pieces.groupBy(F.xxhash64("key", "part").alias("key"), F.col("same").alias("mark")).agg(
+        F.sum("count").alias("count"), F.first("context").alias("context"))
+    found = sorted_repeats(unlike.repartition("key").sortWithinPartitions("key"), length, sort_bytes).select(
+        F.col("key").alias("_place"), F.col("mark").alias("_same"), F.col("at").alias("_at"), "n")
+    of = pieces.select("key", "mark", "shift", "same", F.xxhash64("key", "part").alias("place"))
+    return of.join(found, (F.col("place") == F.col("_place")) & (F.col("same") == F.col("_same"))).select(
+        "key", "mark", (F.col("shift") + F.col("_at")).alias("at"), "n")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -313,7 +366,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mates = unlike.join(sizes.where(~alone & (F.col("bytes") <= key_bytes)), "key", "left_semi")
     hot = unlike.join(sizes.where(~alone & (F.col("bytes") > key_bytes)), "key", "left_semi")
     together = mates.repartition("key").sortWithinPartitions("key")
-    hits = whole_runs.unionAll(sorted_repeats(together, length, sort_bytes)).unionAll(counted_repeats(hot, length))
+    hits = whole_runs.unionAll(sorted_repeats(together, length, sort_bytes))
+    if not hot.isEmpty():
+        hits = hits.unionAll(hot_repeats(hot, length, piece, sort_bytes, key_bytes))
     hits = landed(hits)
     spans = hits.withColumnRenamed("n", "run").join(found.select("key", "mark", "digest", "first"), ["key", "mark"]).groupBy("digest").agg(
         F.array_sort(F.collect_list(F.struct((F.col("first") + F.col("at")).alias("start"),

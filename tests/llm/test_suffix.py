@@ -55,7 +55,7 @@ def test_suffix_order_is_the_order_of_suffixes():
         assert [i for i in order if i < 60] == sorted(range(60), key=lambda i: body[i:])
 
 
-@pytest.mark.parametrize("options", [{}, {"sort_bytes": 100}, {"key_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"sort_bytes": 100}, {"key_bytes": 0}, {"key_bytes": 900}])
 def test_spans_of_odd_tables(spark, options):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefé ") for _ in range(9)) for _ in range(400)]
