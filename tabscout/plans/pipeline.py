@@ -14,7 +14,7 @@ from tabscout.operators.groups import (
 )
 from tabscout.operators.overview import quality_notes, table_overview
 from tabscout.operators.periods import metric_over_time, period_units, rows_over_time
-from tabscout.operators.places import MIN_POINTS, geo_points
+from tabscout.operators.places import MIN_POINTS, map_rows
 from tabscout.operators.profile import duplicate_rows, profile_columns
 from tabscout.operators.ranges import (
     distribution_stats, histogram, outcome_rate_by_range, pair_correlations, relationship_by_range,
@@ -72,50 +72,53 @@ def analyze_table(df: DataFrame, dataset: str = "table", key: Sequence[str] | No
         v.quality_view(quality_notes(profile, duplicates), dataset),
     ]
     if places.lat and places.lon:
-        points = geo_points(df, places.lat, places.lon, key=key)
-        views.append(v.map_view(points.where(f"valid >= {MIN_POINTS}"), dataset))
-
-    aggs = measure_aggs(df, measures) if measures else {}
-    if segments:
-        # One pass serves three views; its result has one row per group.
-        added = [m for m in measures if aggs[m] != "median"]
-        groups = group_pass(df, segments, outcomes, added).persist()
-        if outcomes:
-            views.append(v.outcome_segment_views(
-                outcome_rate_by_segment(df, outcomes, segments, total, groups), dataset, cols))
-        if measures:
-            order = added + [m for m in measures if aggs[m] == "median"]
-            views.append(v.metric_segment_views(
-                metric_by_segment(df, order, segments, total, groups, aggs, exact=exact), dataset, cols))
-        views.append(v.top_category_views(largest_groups(df, segments, groups), dataset, cols))
-    if outcomes and measures:
-        views.append(v.outcome_measure_views(
-            outcome_rate_by_range(df, outcomes, measures, total, exact), dataset, cols))
-    if dates:
-        units = period_units(df, dates)
-        views.append(v.time_count_views(rows_over_time(df, dates, units), dataset, cols))
-        if measures:
-            views.append(v.time_metric_views(
-                metric_over_time(df, dates, measures, total, units, aggs, exact), dataset, cols))
-    if len(measures) > 1:
-        linked = [p for p in pair_correlations(df, measures).collect() if p.passes]
-        if linked:
-            ranges = relationship_by_range(df, [(p.x, p.y) for p in linked], total, exact)
-            views.append(v.relationship_views(
-                spark.createDataFrame(linked), ranges, dataset, cols))
-    known = {m: by_name[m].num.asDict() for m in measures if by_name[m].num}
-    if known:
-        spread = [r for r in distribution_stats(df, list(known), total, known).collect()
-                  if r.passes]
-        if spread:
-            caps = {r.measure: r.p99 if r.n > 100 else None for r in spread}
-            views.append(v.distribution_views(
-                spark.createDataFrame(spread), histogram(df, caps, overflow=False), dataset, cols))
-    # A row per view: worked out once, whatever is asked of it later.
-    built = build_catalog(views)
-    catalog = spark.createDataFrame(built.collect(), built.schema)
-    if segments:
-        groups.unpersist()
+        shown = map_rows(df, places.lat, places.lon, key=key)
+        views.append(v.map_view(shown.where(f"valid >= {MIN_POINTS}"), dataset))
+
+    groups = None
+    try:
+        aggs = measure_aggs(df, measures) if measures else {}
+        if segments:
+            # One pass serves three views; its result has one row per group.
+            added = [m for m in measures if aggs[m] != "median"]
+            groups = group_pass(df, segments, outcomes, added).persist()
+            if outcomes:
+                views.append(v.outcome_segment_views(
+                    outcome_rate_by_segment(df, outcomes, segments, total, groups), dataset, cols))
+            if measures:
+                order = added + [m for m in measures if aggs[m] == "median"]
+                views.append(v.metric_segment_views(
+                    metric_by_segment(df, order, segments, total, groups, aggs, exact=exact), dataset, cols))
+            views.append(v.top_category_views(largest_groups(df, segments, groups), dataset, cols))
+        if outcomes and measures:
+            views.append(v.outcome_measure_views(
+                outcome_rate_by_range(df, outcomes, measures, total, exact), dataset, cols))
+        if dates:
+            units = period_units(df, dates)
+            views.append(v.time_count_views(rows_over_time(df, dates, units), dataset, cols))
+            if measures:
+                views.append(v.time_metric_views(
+                    metric_over_time(df, dates, measures, total, units, aggs, exact), dataset, cols))
+        if len(measures) > 1:
+            linked = [p for p in pair_correlations(df, measures).collect() if p.passes]
+            if linked:
+                ranges = relationship_by_range(df, [(p.x, p.y) for p in linked], total, exact)
+                views.append(v.relationship_views(
+                    spark.createDataFrame(linked), ranges, dataset, cols))
+        known = {m: by_name[m].num.asDict() for m in measures if by_name[m].num}
+        if known:
+            spread = [r for r in distribution_stats(df, list(known), total, known).collect()
+                      if r.passes]
+            if spread:
+                caps = {r.measure: r.p99 if r.n > 100 else None for r in spread}
+                views.append(v.distribution_views(
+                    spark.createDataFrame(spread), histogram(df, caps), dataset, cols))
+        # A row per view: worked out once, whatever is asked of it later.
+        built = build_catalog(views)
+        catalog = spark.createDataFrame(built.collect(), built.schema)
+    finally:
+        if groups is not None:
+            groups.unpersist()
     return Analysis(dataset, spark.createDataFrame(rows, profile.schema), catalog)
 
 

@@ -93,8 +93,8 @@ def quality_view(notes: DataFrame, dataset: str) -> DataFrame:
 def map_view(points: DataFrame, dataset: str) -> DataFrame:
     numbered = points.withColumn("o", F.struct("lat", "lon"))
     rows = numbered.groupBy("score", "passes").agg(
-        _rows("o", F.lit(None), F.lit(None), F.col("lat"), F.lit(None).cast("string"),
-              F.col("lon")))
+        _rows("o", F.lit(None), F.col("n") if "n" in points.columns else F.lit(None), F.col("lat"),
+              F.lit(None).cast("string"), F.col("lon")))
     return _finish(
         rows, dataset, "map", "geo", VIEW_TEXTS["map"], {}, F.lit("map"), _ord("map"),
         F.lit("Longitude"), F.lit("Latitude"), [F.lit("lat"), F.lit("lon")])

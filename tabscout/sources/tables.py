@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,20 +169,25 @@ def preview(df: DataFrame, n: int = 10, order: Sequence[str] | None = None) -> D
     return fixed_sample(df, n, seed=0)
 
 
-def to_json_rows(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
-    """One JSON text per row: NaN and infinities are null, times are ISO text."""
-
-    def clean(c: str):
-        dtype, col = type_of(df, c), quoted(c)
-        if isinstance(dtype, FLOATING):
-            return F.when(~F.isnan(col) & (F.abs(col) < float("inf")), col).alias(c)
-        if isinstance(dtype, T.DateType):
-            return F.date_format(col, "yyyy-MM-dd").alias(c)
-        if isinstance(dtype, TEMPORAL):
-            return F.regexp_replace(
-                F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""
-            ).alias(c)
-        return col.alias(c)
+def _json_ready(col: Column, dtype: T.DataType) -> Column:
+    """A value of any depth as JSON can hold it: NaN and infinities null, times as ISO text."""
+    if isinstance(dtype, FLOATING):
+        return F.when(~F.isnan(col) & (F.abs(col) < float("inf")), col)
+    if isinstance(dtype, T.DateType):
+        return F.date_format(col, "yyyy-MM-dd")
+    if isinstance(dtype, TEMPORAL):
+        return F.regexp_replace(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: _json_ready(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        keyed = col if not isinstance(dtype.keyType, TEMPORAL) else F.transform_keys(col, lambda k, _: _json_ready(k, dtype.keyType))
+        return F.transform_values(keyed, lambda _, x: _json_ready(x, dtype.valueType))
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        return F.when(col.isNotNull(), F.struct(*[_json_ready(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+    return col
+
 
+def to_json_rows(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
+    """One JSON text per row: at any depth NaN and infinities are null, times are ISO text."""
     options = {"ignoreNullFields": str(not keep_nulls).lower()}
-    return df.select(F.to_json(F.struct(*[clean(c) for c in df.columns]), options).alias("json"))
+    return df.select(F.to_json(F.struct(*[_json_ready(quoted(c), type_of(df, c)).alias(c) for c in df.columns]), options).alias("json"))
