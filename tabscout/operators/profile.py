@@ -422,8 +422,8 @@ def date_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One format per column: the one that most values look like, the first of the list
     on a tie. A name with a date word has all values read; another one only those that
-    look like a date, and at least 55 % (and five) of them must. Two scans: looks are
-    counted before the small exchange, then reading succeeds or fails.
+    look like a date, and at least 55 % (and five) of them must. Two scans, whatever the number
+    of columns (up to COLUMN_CHUNK): looks are counted before the small exchange, then reading succeeds or fails.
     """
     spark, named = df.sparkSession, dated_names(df, columns)
     if not columns:
@@ -434,7 +434,8 @@ def date_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         fmt = F.coalesce(date_format_of(texts[c]), F.lit(""))
         return fmt if c in named else F.when(date_like(texts[c]), fmt)
 
-    looks = counts_by_value(df, {c: look(c) for c in columns}).collect()
+    looks = long_form(df, "name", "value", {c: look(c) for c in columns}).where("value IS NOT NULL").groupBy(
+        "name", "value").agg(F.count("*").alias("n")).collect()
     order = {fmt: i for i, (_, fmt) in reversed(list(enumerate(w.DATE_FORMATS)))}
     best: dict[str, tuple] = {}
     like = dict.fromkeys(columns, 0)
@@ -442,17 +443,21 @@ def date_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         like[r.name] += r.n
         if r.value:
             best[r.name] = max(best.get(r.name, (0, 0, "")), (r.n, -order[r.value], r.value))
-
-    def one(c: str) -> Column:
-        fmt = best[c][2] if c in best else None
-        seen = F.count(texts[c])
-        good = F.count(as_timestamp(df, c, fmt) if c in named else F.when(date_like(texts[c]), as_timestamp(df, c, fmt)))
-        enough = F.lit(True) if c in named else F.lit(like[c]) >= F.greatest(F.lit(5.0), seen * 0.55)
-        share = F.when(enough, F.try_divide(good, F.lit(like[c])))
-        return F.struct(F.lit(c).alias("name"), seen.alias("seen"), F.lit(fmt).cast("string").alias("ts_format"),
-                        F.coalesce(share, F.lit(0.0)).alias("date_share"))
-
-    return stack_row([one(c) for c in columns], df)
+    formats = {c: best[c][2] if c in best else None for c in columns}
+
+    def read(c: str) -> Column:
+        """1 for a value, 2 for one that is read as a time."""
+        time = as_timestamp(df, c, formats[c])
+        good = (time if c in named else F.when(date_like(texts[c]), time)).isNotNull()
+        return F.when(texts[c].isNotNull(), F.when(good, 2).otherwise(1))
+
+    counted = long_form(df, "name", "value", {c: read(c) for c in columns}).where("value IS NOT NULL").groupBy("name").agg(
+        F.count("*").alias("_seen"), F.count_if(F.col("value") == 2).alias("_good"))
+    rows = spark.createDataFrame([(c, formats[c], like[c], c in named) for c in columns], "name string, ts_format string, _like bigint, _named boolean")
+    seen = F.coalesce("_seen", F.lit(0).cast("bigint"))
+    enough = F.col("_named") | (F.col("_like") >= F.greatest(F.lit(5.0), seen * 0.55))
+    return rows.join(F.broadcast(counted), "name", "left").select(
+        "name", seen.alias("seen"), "ts_format", F.coalesce(F.when(enough, F.try_divide("_good", "_like")), F.lit(0.0)).alias("date_share"))
 
 
 # --- roles -------------------------------------------------------------------

@@ -181,3 +181,13 @@ def test_constant_and_odd_numbers(spark):
     assert (rows["y"].std, rows["y"].skew) == (0.0, 0.0)
     missing = {r.name: r.missing for r in prof.missing_rates(df).collect()}
     assert missing == {"x": 2, "y": 1}
+
+
+def test_date_share_takes_two_scans_of_any_columns(spark):
+    rows = [(f"2020-01-{1 + i % 28:02d}", f"{i} items", f"{1 + i % 12:02d}/03/2021" if i % 10 else "soon", str(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, due_date string, c string")
+    found = prof.date_share(df, df.columns)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD[a#") == 1
+    got = {r.name: (r.seen, r.ts_format is not None, round(r.date_share, 6)) for r in found.collect()}
+    assert got == {"a": (60, True, 1.0), "b": (60, False, 0.0), "due_date": (60, True, 0.9), "c": (60, False, 0.0)}
+    assert prof.date_share(df.limit(0), ["a", "due_date"]).where("date_share > 0 OR seen > 0").count() == 0
