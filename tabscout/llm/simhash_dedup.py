@@ -1,12 +1,12 @@
 """SimHash near-dedup: fingerprints of word shingles, linked when few bits differ.
 
-Links are found by the pigeonring principle. The 64 bits are a ring of three segments.
-If two fingerprints differ in at most 2 bits, some segment starts a chain whose
-cumulative differences stay within the proportional budgets 2/3, 4/3 and 2, that is
-0, 1 and 2 bits after one, two and three segments. Of the second segment, which may
+Links are found by the pigeonring principle. For a budget of k bits the 64 bits are a ring of
+k + 1 segments, three for 2 bits. If two fingerprints differ in at most k bits, some segment starts a
+chain whose cumulative differences stay within the proportional budgets k/(k+1), 2k/(k+1)
+and so on, that is 0 bits after one segment and 1 after two. Of the second segment, which may
 differ in 1 bit, one half is equal; so the join key is the first segment and one half
 of the second. A bucket with too many fingerprints is refined: its free bits form a
-ring of three again, of which one segment must be equal.
+ring of as many segments again, of which one must be equal. A pair is taken where its first key is.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from tabscout.llm.textbytes import byte_table, nonspace_bytes, utf8, word_spans
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
-#: Bits of the three segments of the ring.
-SEGMENTS = (22, 21, 21)
+#: With more bits half a segment is empty.
+WIDEST = 31
 #: Buckets of more fingerprints are refined instead of compared.
 BUCKET_ROWS = 64
 #: How often a bucket is refined; after that its key holds all but a few bits.
@@ -35,14 +35,35 @@ ALL_BITS = (1 << 64) - 1
 LANES = np.uint64(0x0101010101010101)
 
 
+def majority_bits(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes of its shingles, which follow each other; shingles: how many each text has."""
+    out = np.zeros(len(shingles), np.uint64)
+    if not len(hashes):
+        return out
+    # Count bits in eight byte lanes at a time, at most 255 hashes to a block.
+    blocks = -(-shingles // 255)
+    n_blocks = int(blocks.sum())
+    doc = np.repeat(np.arange(len(shingles)), blocks)
+    inner = np.arange(n_blocks) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    cut = (np.cumsum(shingles) - shingles)[doc] + 255 * inner
+    counts = np.zeros((n_blocks, 64), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & LANES, cut)
+        counts[:, k::8] = lanes.view(np.uint8).reshape(-1, 8)
+    some = np.flatnonzero(shingles)
+    totals = np.add.reduceat(counts, np.searchsorted(doc, some), axis=0)
+    bits = totals * 2 > shingles[some][:, None]
+    out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def fingerprints_of(column: pa.Array, width: int = SHINGLE_WORDS) -> np.ndarray:
     """The fingerprint of each text: a bit is set if over half the shingle hashes have it."""
     raw, at = utf8(column)
     space = nonspace_bytes()
     starts, ends, first = word_spans(raw, at, space)
-    out = np.zeros(len(column), np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(len(column), np.uint64)
     low = byte_table(np.ones(256, bool))[raw]
     # The words with one space after each: a shingle is then one slice.
     sizes = ends - starts + 1
@@ -56,21 +77,7 @@ def fingerprints_of(column: pa.Array, width: int = SHINGLE_WORDS) -> np.ndarray:
     view, digest = line.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(place[begin].tolist(), (place[last] - 1).tolist())),
                          np.uint64, len(begin))
-    # Count bits in eight byte lanes at a time, at most 255 hashes to a block.
-    blocks = -(-shingles // 255)
-    n_blocks = int(blocks.sum())
-    doc = np.repeat(np.arange(len(column)), blocks)
-    inner = np.arange(n_blocks) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    cut = (np.cumsum(shingles) - shingles)[doc] + 255 * inner
-    counts = np.zeros((n_blocks, 64), np.int64)
-    for k in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(k)) & LANES, cut)
-        counts[:, k::8] = lanes.view(np.uint8).reshape(-1, 8)
-    some = np.flatnonzero(shingles)
-    totals = np.add.reduceat(counts, np.searchsorted(doc, some), axis=0)
-    bits = totals * 2 > shingles[some][:, None]
-    out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+    return majority_bits(hashes, shingles)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,28 +105,31 @@ def split_bits(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits, dtype=object), parts)]
 
 
-def first_masks() -> list[int]:
+def first_masks(max_bits: int = MAX_BITS) -> list[int]:
     """The bits that a join key holds: one segment and half of the next."""
-    edges = np.cumsum((0, *SEGMENTS))
-    segments = [list(range(a, b)) for a, b in zip(edges, edges[1:])]
-    return [sum(1 << b for b in segments[i]) | half for i in range(3) for half in split_bits(segments[(i + 1) % 3], 2)]
+    n = max_bits + 1
+    segments = [[b for b in range(64) if part >> b & 1] for part in split_bits(list(range(64)), n)]
+    return [sum(1 << b for b in segments[i]) | half for i in range(n) for half in split_bits(segments[(i + 1) % n], 2)]
 
 
-def finer_masks(mask: int) -> list[int]:
-    """The masks that refine a bucket: its bits and a third of the others."""
+def finer_masks(mask: int, max_bits: int = MAX_BITS) -> list[int]:
+    """The masks that refine a bucket: its bits and one of max_bits + 1 shares of the others."""
     free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | m for m in split_bits(free, 3)]
+    return [mask | m for m in split_bits(free, max_bits + 1)]
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs (u > v) of distinct fingerprints that differ in 1 to 2 bits; fps: column fp, each once.
+    """Pairs (u > v) of distinct fingerprints that differ in 1 to max_bits bits; fps: column fp, each once.
 
     Every pair is found whatever the sizes of the buckets: one with more than bucket_rows
     is not compared but dealt out again by more bits, and each refinement
-    keeps every pair within the budget together in one bucket at least."""
-    if max_bits != MAX_BITS:
-        raise ValueError("the segments are laid out for 2 bits")
-    masks = first_masks()
+    keeps every pair within the budget together in one bucket at least. Of the buckets that hold a pair
+    the one of the first mask counts, and of that its first finer mask, so each pair comes once."""
+    if not 1 <= max_bits <= WIDEST:
+        raise ValueError(f"segments can be laid out for 1 to {WIDEST} bits")
+    spark = fps.sparkSession
+    masks = first_masks(max_bits)
+    earlier = [masks[:i] for i in range(len(masks))]
     rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("path", "key"))
     found = []
     for level in range(REFINEMENTS + 1):
@@ -127,25 +137,28 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
         sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = landed(sizes)
         last = level == REFINEMENTS
+        before = spark.createDataFrame([(i, [signed(m) for m in e]) for i, e in enumerate(earlier)], "_path int, earlier array<long>")
         few = rows.join(sizes if last else sizes.where(F.col("n") <= bucket_rows), ["path", "key"]).select("path", "key", "fp")
         other = few.withColumnRenamed("fp", "v")
-        pair = few.withColumnRenamed("fp", "u").join(
-            other, (few["path"] == other["path"]) & (few["key"] == other["key"]) & (F.col("u") > F.col("v"))
-            & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
+        one = few.withColumnRenamed("fp", "u").join(F.broadcast(before), F.col("path") == F.col("_path"))
+        differ = F.col("u").bitwiseXOR(F.col("v"))
+        pair = one.join(
+            other, (one["path"] == other["path"]) & (one["key"] == other["key"]) & (F.col("u") > F.col("v"))
+            & (F.bit_count(differ) <= max_bits) & F.forall("earlier", lambda m: differ.bitwiseAND(m) != 0)).select("u", "v")
         found.append(pair)
         many = sizes.where(F.col("n") > bucket_rows)
         if last or many.isEmpty():
             break
-        finer = [finer_masks(m) for m in masks]
-        table = F.array(*[F.array(*[F.lit(signed(x)) for x in ms]) for ms in finer])
-        rows = rows.join(many.select("path", "key"), ["path", "key"]).select(
-            "fp", "path", F.posexplode(F.element_at(table, F.col("path") + 1)).alias("part", "mask")).select(
-            "fp", (F.col("path") * 3 + F.col("part")).alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        masks = [x for ms in finer for x in ms]
+        finer = [(i, m, [*e, *ms[:k]]) for i, (mask, e) in enumerate(zip(masks, earlier))
+                 for ms in [finer_masks(mask, max_bits)] for k, m in enumerate(ms)]
+        table = spark.createDataFrame([(i, k, signed(m)) for k, (i, m, _) in enumerate(finer)], "path int, finer int, mask long")
+        rows = rows.join(many.select("path", "key"), ["path", "key"]).join(F.broadcast(table), "path").select(
+            "fp", F.col("finer").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        masks, earlier = [m for _, m, _ in finer], [e for _, _, e in finer]
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out.distinct()
+    return out
 
 
 def stars(edges: DataFrame) -> DataFrame:

@@ -155,3 +155,22 @@ def test_extra_columns_with_the_names_of_helpers(spark):
                                "doc_id long, text string, _other_id long, _other_digest string")
     for kept in (ex.drop_exact_copies(df), sh.drop_near_copies(df)):
         assert kept.columns == df.columns and sorted(r._other_id for r in kept.collect()) == [5, 7]
+
+
+def test_links_of_wider_budgets(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(5):
+        b = rng.getrandbits(64)
+        for _ in range(50):
+            x = b
+            for k in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << k
+            fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(sh.signed(x),) for x in fps], "fp long")
+    for bits, limit in ((1, 64), (4, 3), (6, 64), (6, 20)):
+        wanted = sorted((a, b) for a in fps for b in fps if sh.signed(a) > sh.signed(b) and (a ^ b).bit_count() <= bits)
+        assert sorted((r.u % 2**64, r.v % 2**64) for r in sh.links(df, bits, bucket_rows=limit).collect()) == wanted
+    with pytest.raises(ValueError):
+        sh.links(df, 32)
