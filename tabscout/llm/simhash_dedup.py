@@ -5,7 +5,8 @@ k + 1 segments, three for 2 bits. If two fingerprints differ in at most k bits,
 chain whose cumulative differences stay within the proportional budgets k/(k+1), 2k/(k+1)
 and so on, that is 0 bits after one segment and 1 after two. Of the second segment, which may
 differ in 1 bit, one half is equal; so the join key is the first segment and one half
-of the second. A bucket with too many fingerprints is refined: its free bits form a
+of the second. Longer chains make longer keys, which fewer unlike fingerprints share: of what
+is free in l segments, which may differ in l - 1 bits, one l-th is equal. A bucket with too many fingerprints is refined: its free bits form a
 ring of as many segments again, of which one must be equal. A pair is taken where its first key is.
 """
 
@@ -25,6 +26,8 @@ from tabscout.llm.textbytes import byte_table, nonspace_bytes, utf8, word_spans
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
+#: Segments in the chain that a join key is made of.
+CHAIN = 2
 #: With more bits half a segment is empty.
 WIDEST = 31
 #: Buckets of more fingerprints are refined instead of compared.
@@ -105,11 +108,18 @@ def split_bits(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits, dtype=object), parts)]
 
 
-def first_masks(max_bits: int = MAX_BITS) -> list[int]:
-    """The bits that a join key holds: one segment and half of the next."""
+def first_masks(max_bits: int = MAX_BITS, chain: int = CHAIN) -> list[int]:
+    """The bits that a join key holds: one segment, half of the next, a third of what is then free in three, and so on."""
     n = max_bits + 1
     segments = [[b for b in range(64) if part >> b & 1] for part in split_bits(list(range(64)), n)]
-    return [sum(1 << b for b in segments[i]) | half for i in range(n) for half in split_bits(segments[(i + 1) % n], 2)]
+    out = []
+    for i in range(n):
+        masks = [sum(1 << b for b in segments[i])]
+        for size in range(2, min(chain, n) + 1):
+            bits = [b for k in range(size) for b in segments[(i + k) % n]]
+            masks = [m | share for m in masks for share in split_bits([b for b in bits if not m >> b & 1], size)]
+        out += masks
+    return out
 
 
 def finer_masks(mask: int, max_bits: int = MAX_BITS) -> list[int]:
@@ -118,27 +128,55 @@ def finer_masks(mask: int, max_bits: int = MAX_BITS) -> list[int]:
     return [mask | m for m in split_bits(free, max_bits + 1)]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def spanning_pairs(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u > v) within max_bits that connect what all such pairs connect: one fewer than there are members."""
+    left = np.unique(fps)
+    us, vs = [left[:0]], [left[:0]]
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            one = reached.pop()
+            near = np.bitwise_count((left ^ one).view(np.uint64)) <= max_bits
+            found, left = left[near], left[~near]
+            us.append(np.maximum(found, one))
+            vs.append(np.minimum(found, one))
+            reached.extend(found)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS, chain: int = CHAIN,
+          all_rows: int | None = None) -> DataFrame:
     """Pairs (u > v) of distinct fingerprints that differ in 1 to max_bits bits; fps: column fp, each once.
 
     Every pair is found whatever the sizes of the buckets: one with more than bucket_rows
     is not compared but dealt out again by more bits, and each refinement
     keeps every pair within the budget together in one bucket at least. Of the buckets that hold a pair
-    the one of the first mask counts, and of that its first finer mask, so each pair comes once."""
+    the one of the first mask counts, and of that its first finer mask, so each pair comes once.
+
+    With all_rows, a bucket of more fingerprints gives a spanning forest of its pairs instead of all: what the pairs
+    connect stays connected, and a group of near copies makes pairs in proportion to its size, not to its square."""
     if not 1 <= max_bits <= WIDEST:
         raise ValueError(f"segments can be laid out for 1 to {WIDEST} bits")
     spark = fps.sparkSession
-    masks = first_masks(max_bits)
+    masks = first_masks(max_bits, chain)
     earlier = [masks[:i] for i in range(len(masks))]
     rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("path", "key"))
     found = []
+
+    def forest(bucket: pa.Table) -> pa.Table:
+        u, v = spanning_pairs(bucket["fp"].to_numpy(), max_bits)
+        return pa.table({"u": u, "v": v})
+
     for level in range(REFINEMENTS + 1):
-        rows = landed(rows)
-        sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sizes = landed(sizes)
+        sizes = landed(rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        shared = landed(rows.join(sizes, ["path", "key"]).select("path", "key", "fp", "n"))
         last = level == REFINEMENTS
+        few = shared if last else shared.where(F.col("n") <= bucket_rows)
+        if all_rows is not None:
+            found.append(few.where(F.col("n") > all_rows).groupBy("path", "key").applyInArrow(forest, "u long, v long"))
+            few = few.where(F.col("n") <= all_rows)
         before = spark.createDataFrame([(i, [signed(m) for m in e]) for i, e in enumerate(earlier)], "_path int, earlier array<long>")
-        few = rows.join(sizes if last else sizes.where(F.col("n") <= bucket_rows), ["path", "key"]).select("path", "key", "fp")
+        few = few.select("path", "key", "fp")
         other = few.withColumnRenamed("fp", "v")
         one = few.withColumnRenamed("fp", "u").join(F.broadcast(before), F.col("path") == F.col("_path"))
         differ = F.col("u").bitwiseXOR(F.col("v"))
@@ -146,19 +184,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
             other, (one["path"] == other["path"]) & (one["key"] == other["key"]) & (F.col("u") > F.col("v"))
             & (F.bit_count(differ) <= max_bits) & F.forall("earlier", lambda m: differ.bitwiseAND(m) != 0)).select("u", "v")
         found.append(pair)
-        many = sizes.where(F.col("n") > bucket_rows)
-        if last or many.isEmpty():
+        if last or sizes.where(F.col("n") > bucket_rows).isEmpty():
             break
         finer = [(i, m, [*e, *ms[:k]]) for i, (mask, e) in enumerate(zip(masks, earlier))
                  for ms in [finer_masks(mask, max_bits)] for k, m in enumerate(ms)]
         table = spark.createDataFrame([(i, k, signed(m)) for k, (i, m, _) in enumerate(finer)], "path int, finer int, mask long")
-        rows = rows.join(many.select("path", "key"), ["path", "key"]).join(F.broadcast(table), "path").select(
+        rows = shared.where(F.col("n") > bucket_rows).join(F.broadcast(table), "path").select(
             "fp", F.col("finer").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         masks, earlier = [m for _, m, _ in finer], [e for _, _, e in finer]
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out
+    return out if all_rows is None else out.distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:

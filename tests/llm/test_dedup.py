@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -174,3 +175,45 @@ def test_links_of_wider_budgets(spark):
         assert sorted((r.u % 2**64, r.v % 2**64) for r in sh.links(df, bits, bucket_rows=limit).collect()) == wanted
     with pytest.raises(ValueError):
         sh.links(df, 32)
+
+
+@pytest.mark.parametrize(("bits", "chain", "limit"), [(4, 3, 64), (4, 3, 5), (1, 3, 64)])
+def test_longer_keys_find_the_same_links(spark, bits, chain, limit):
+    rng = random.Random(8)
+    fps = set()
+    for _ in range(4):
+        b = rng.getrandbits(64)
+        for _ in range(50):
+            x = b
+            for k in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << k
+            fps.add(x)
+    df = spark.createDataFrame([(sh.signed(x),) for x in fps], "fp long")
+    wanted = {(sh.signed(a), sh.signed(b)) for a in fps for b in fps if sh.signed(a) > sh.signed(b) and (a ^ b).bit_count() <= bits}
+    got = sh.links(df, bits, limit, chain).collect()
+    assert {(r.u, r.v) for r in got} == wanted and len(got) == len(wanted)
+    some = {(r.u, r.v) for r in sh.links(df, bits, limit, chain, all_rows=3).collect()}
+    assert some <= wanted and (len(some) < len(wanted) or bits == 1)  # stars are forests
+    ends = [spark.createDataFrame(sorted(p), "u long, v long") for p in (wanted, some)]
+    assert sorted(sh.components(ends[0]).collect()) == sorted(sh.components(ends[1]).collect())
+
+
+def test_spanning_pairs_connect_a_group_with_one_pair_fewer_than_members():
+    rng = np.random.default_rng(9)
+    fps = np.concatenate([np.arange(200) * 3, (1 << 60) + (1 << rng.integers(0, 50, 100)), [-1, -2, 1 << 62]])
+    u, v = sh.spanning_pairs(fps, 2)
+    assert (u > v).all() and (np.bitwise_count((u ^ v).view(np.uint64)) <= 2).all()
+    distinct = np.unique(fps)
+    root = {x: x for x in distinct.tolist()}
+    for a in distinct.tolist():
+        for b in distinct.tolist():
+            if root[a] != root[b] and (a ^ b) % 2**64 and ((a ^ b) % 2**64).bit_count() <= 2:
+                low, high = sorted((root[a], root[b]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    mine = {x: x for x in distinct.tolist()}
+    for a, b in zip(u.tolist(), v.tolist()):
+        assert mine[a] != mine[b]
+        low, high = sorted((mine[a], mine[b]))
+        mine = {x: low if r == high else r for x, r in mine.items()}
+    assert mine == root
+    assert [len(x) for x in sh.spanning_pairs(fps[:0], 2)] == [0, 0]
