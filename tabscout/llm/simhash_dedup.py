@@ -32,6 +32,8 @@ CHAIN = 2
 WIDEST = 31
 #: Buckets of more fingerprints are refined instead of compared.
 BUCKET_ROWS = 64
+#: Keys are counted by so many to a task.
+KEYS_TO_A_TASK = 1 << 18
 #: How often a bucket is refined; after that its key holds all but a few bits.
 REFINEMENTS = 4
 ALL_BITS = (1 << 64) - 1
@@ -160,7 +162,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
     spark = fps.sparkSession
     masks = first_masks(max_bits, chain)
     earlier = [masks[:i] for i in range(len(masks))]
-    rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("path", "key"))
+    # A small table comes in few partitions, but each row makes many keys.
+    spread = fps.repartition(fps.count() * len(masks) // KEYS_TO_A_TASK + 1, "fp")
+    rows = spread.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("path", "key"))
     found = []
 
     def forest(bucket: pa.Table) -> pa.Table:
