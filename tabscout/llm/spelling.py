@@ -165,12 +165,19 @@ def one_edits(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(map(one_edit, left.to_pylist(), right.to_pylist()), pa.bool_())
 
 
+def shuffled(words: DataFrame) -> DataFrame:
+    """words, to be joined by sorting both sides.
+
+    Spark goes by the size of files, also for the many keys that are made of each word, and would broadcast tables that take many times as much in memory."""
+    return words.hint("merge")
+
+
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, near, near_n) of all words that differ by one inserted, deleted or replaced letter; both directions.
 
     words: columns word and n, each word once."""
     known = landed(keyed_words(words, symbols))
-    met = near_keys(known, symbols).join(known.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key"), "key")
+    met = near_keys(known, symbols).join(shuffled(known.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")), "key")
     return met.where(F.arrow_udf(one_edits, "boolean")("word", "near")).select("word", "near", "near_n")
 
 
@@ -181,7 +188,7 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int = FORM_RATIO) -> DataFr
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     near = pairs.groupBy("word").agg(F.size(F.collect_set("near")).cast("long").alias("n_near"), best.alias("best"))
     much = -F.col("best.less") >= ratio * F.col("n")
-    return words.join(near, "word", "left").select(
+    return words.join(shuffled(near), "word", "left").select(
         "word", "n", F.when(much, F.col("best.form")).alias("form"), F.when(much, -F.col("best.less")).alias("form_n"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
@@ -193,7 +200,7 @@ def roots(formed: DataFrame) -> DataFrame:
     ways = landed(formed.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         ahead = ways.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = landed(ways.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("gone_on")))
+        steps = landed(ways.join(shuffled(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("gone_on")))
         ways = steps.select("word", "root")
         if steps.where("gone_on").isEmpty():
             return ways
@@ -210,7 +217,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sy
     empty table gives no rows. Words of any length are compared whole."""
     words = landed(vocabulary(docs, id_col, text_col, slip))
     found = landed(forms(words, near_pairs(words, symbols)))
-    return found.join(roots(found), "word", "left").select(
+    return found.join(shuffled(roots(found)), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

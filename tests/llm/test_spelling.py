@@ -113,3 +113,19 @@ def test_long_chains_end_at_one_root(spark):
     words = spark.createDataFrame(chain, "word string, n long")
     found = sp.forms(words, sp.near_pairs(words))
     assert {r.root for r in sp.roots(found).collect()} == {"a" * 12}
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    docs = [(i, " ".join(random.Random(i % 7).choice(["alpha", "alpho", "alphas", "gamma", "gammas"]) for _ in range(30))) for i in range(100)]
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    write = sp.landed
+    monkeypatch.setattr(sp, "landed", lambda df: write(ran(df)))
+    found = ran(sp.variants(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert rows_of(found) == plain_variants(docs) and any(r.form for r in found.collect())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
